@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_pack", "q_simhash", "q_kdtree", "q_html", "q_toxicity")
+MODULES = ("q_pack", "q_simhash", "q_kdtree", "q_html", "q_toxicity", "q_lines")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
