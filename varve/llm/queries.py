@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_fingerprints", "q_pack", "q_simhash", "q_kdtree", "q_html", "q_toxicity", "q_lines")
+MODULES = ("q_merkle", "q_fingerprints", "q_kdtree", "q_simhash", "q_mixing", "q_bfd", "q_pack", "q_html", "q_toxicity", "q_lines")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
