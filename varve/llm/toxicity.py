@@ -316,13 +316,16 @@ def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_othe
     """A model from a bounded sample: at most ``most_toxic`` and ``most_other``
     labelled rows that are not held out, of texts up to ``longest`` code points,
     in a fixed order of their hashes."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = [known.where(F.col("toxic") == y).orderBy(*order).limit(most) for y, most in ((1, most_toxic), (0, most_other))]
+    # at most most_toxic + most_other ids: small enough to broadcast whatever the corpus
+    chosen = F.broadcast(ids[0].unionByName(ids[1]))
     text = text_of(docs)
-    rows = docs.select("doc_id", text.alias("text")).where(~held_out() & (F.length("text") <= longest)).join(known, "doc_id")
-    out: list[tuple[str, int]] = []
-    for y, most in ((1, most_toxic), (0, most_other)):
-        part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-        out += [(r["text"], y) for r in part.select("text").collect()]
+    rows = docs.select("doc_id", text.alias("text")).join(chosen, "doc_id").where(F.length("text") <= longest)
+    # rows repeated under an id must not exceed the bound
+    rows = rows.orderBy(*order, "text").limit(most_toxic + most_other).collect()
+    out = [(r["text"], r["toxic"]) for r in rows]
     return train(out)
 
 
