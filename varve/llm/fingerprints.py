@@ -79,7 +79,7 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def successors(buckets: DataFrame, levels: int = 9, step: int = 7) -> DataFrame:
+def successors(buckets: DataFrame, levels: int = 10, step: int = 7) -> DataFrame:
     """(bucket, after): each value of ``bucket`` and the next larger one, null
     behind the last. Rows look for it in windows of 2**step values, then those
     that end a window in one of 2**step windows, and so on: no task sorts all."""
