@@ -46,7 +46,7 @@ def binary(name: str, names: tuple[str, ...], default: int, floats, ints, pair=N
             x = d.type(args.number(*names, at=0, default=float(default), dtype=d.type))
             return v.with_data(np.asarray(floats(v.data, x), d))
         if to_float:
-            x = args.whole(*names, at=0, default=default, dtype=d)
+            x = args.number(*names, at=0, default=float(default))
             return v.with_data(np.asarray(floats(v.data.astype("f8"), np.float64(x)), "f8"))
         x = args.whole(*names, at=0, default=default, dtype=d)
         return v.with_data(np.asarray(ints(v.data, d.type(x)), d))

@@ -13,6 +13,9 @@ RESERVED = frozenset("if else each route pipeline accept import from as true fal
 TYPES = {"Bytes": "bytes", "IntArg": "int", "FloatArg": "float", "StrArg": "str", "BoolArg": "bool", "Scalar": "scalar", "Composite": "composite", "Tensor": "tensor", "Image": "image", "Audio": "audio"}
 ESCAPES = {"\\": "\\", "/": "/", '"': '"', "'": "'", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 
+#: Axes of an array, at most.
+MOST_AXES = 64
+
 _SPACE = re.compile(r"(?:\s+|(?:#|//)[^\n]*(?:\n|$))*")
 _IDENT = re.compile(r"[A-Za-z_]\w*")
 _VERSION = re.compile(r"[A-Za-z0-9._+-]+")
@@ -151,8 +154,8 @@ class Parser:
             if self.take("rank"):
                 self.need("=")
                 rank = self.integer()
-                if rank < 1:
-                    raise ParseError("a rank must be at least 1; rank 0 is a Scalar")
+                if not 1 <= rank <= MOST_AXES:
+                    raise ParseError(f"a rank must be 1 to {MOST_AXES}; rank 0 is a Scalar")
                 self.need("]")
                 return TypeSpec(kind, (None,) * rank)
             dims = [self.dim()]
