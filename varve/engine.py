@@ -363,11 +363,11 @@ class Pipeline:
         fields += [T.StructField("error", T.StringType())] * (on_error == "null")
         schema = T.StructType(fields)
         arrow = to_arrow_schema(schema)
-        program = self
+        program, names, at = self, list(columns), len(keep)
 
         def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                readers = {n: Reader(specs[n], batch.column(len(keep) + k), types[n]) for k, n in enumerate(columns)}
+                readers = {n: Reader(specs[n], batch.column(at + k), types[n]) for k, n in enumerate(names)}
                 rows: dict[str, list] = {n: [] for n in emits}
                 errors: list[str | None] = []
                 for k in range(batch.num_rows):
@@ -383,7 +383,7 @@ class Pipeline:
                     for n in emits:
                         rows[n].append(got.get(n))
                     errors.append(error)
-                cols = [batch.column(k) for k in range(len(keep))] + [column(rows[n], t) for n, t in emits.items()]
+                cols = [batch.column(k) for k in range(at)] + [column(rows[n], t) for n, t in emits.items()]
                 if on_error == "null":
                     cols.append(pa.array(errors, pa.string()))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow)], schema=arrow)

@@ -18,6 +18,7 @@ MOST_AXES = 64
 
 _SPACE = re.compile(r"(?:\s+|(?:#|//)[^\n]*(?:\n|$))*")
 _IDENT = re.compile(r"[A-Za-z_]\w*")
+_PLUGIN = re.compile(r"[A-Za-z_][\w-]*")
 _VERSION = re.compile(r"[A-Za-z0-9._+-]+")
 _NUMBER = re.compile(r"[+-]?\d+(\.\d+)?([eE][+-]?\d+)?")
 _INT = re.compile(r"[+-]?\d+")
@@ -86,7 +87,7 @@ class Parser:
         out = Program()
         while self.at < len(self.text):
             if self.take("plugin"):
-                name = self.ident()
+                name = self.match(_PLUGIN, "a plugin", skip=False)
                 self.need("/")
                 out.plugins.append((name, self.match(_VERSION, "a version")))
             elif self.peek("import") or self.peek("from"):
