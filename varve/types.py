@@ -77,7 +77,8 @@ def wide(d) -> np.dtype:
 def round_away(x: np.ndarray) -> np.ndarray:
     """To the nearest whole number, halves away from zero."""
     t = np.trunc(x)
-    return t + np.where(np.abs(x - t) >= 0.5, np.sign(x), 0)
+    with np.errstate(invalid="ignore"):
+        return t + np.where(np.abs(x - t) >= 0.5, np.sign(x), 0)
 
 
 def convert(x: np.ndarray, to) -> np.ndarray:
