@@ -140,11 +140,10 @@ def cumsum(lane: Column, dtype: str) -> Column:
     return F.aggregate(lane, empty, step)
 
 
-def gather(lane: Column, indices: list[int], dtype: str) -> Column:
-    """lane[i] for each index; long runs of a fixed step are sequences."""
+def gather(lane: Column, indices: list[int], dtype: str, whole: int = 0) -> Column:
+    """lane[i] for each index; runs are slices, or all if the lane has ``whole``."""
     if not indices:
         return F.array().cast(f"array<{SQL[dtype]}>")
-    step = indices[1] - indices[0] if len(indices) > 1 else 1
-    if indices == [indices[0] + k * step for k in range(len(indices))] and step == 1:
-        return F.slice(lane, indices[0] + 1, len(indices))
-    return F.transform(F.array(*[F.lit(i) for i in indices]), lambda i: F.get(lane, i))
+    if indices == list(range(indices[0], indices[0] + len(indices))):
+        return lane if whole == len(indices) else F.slice(lane, indices[0] + 1, len(indices))
+    return let(lane, lambda x: F.transform(F.array(*[F.lit(i) for i in indices]), lambda i: F.get(x, i)))

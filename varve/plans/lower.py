@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.shape import axis_of
 from ..operators import columns as C
 from ..registry import Args, Names
 from ..types import NAMES, Value
@@ -73,8 +74,10 @@ class Lowering:
                 current = self.call(s, env, current)
             elif isinstance(s, Branch):
                 current = self.branch(s, env, current)
+            elif isinstance(s, Each):
+                current = self.each(s, env, current)
             else:
-                raise NotLowered("each")
+                raise NotLowered(type(s).__name__)
         return current
 
     def ref(self, r: Ref, env: dict) -> Lane:
@@ -96,6 +99,33 @@ class Lowering:
             return Lane(F.get(v.expr, F.lit(at[0])), v.dtype, None)
         return Lane(C.gather(v.expr, at, v.dtype), v.dtype, places.shape)
 
+    def each(self, s: Each, env: dict, current: Lane) -> Lane:
+        """A loop over slices of a tensor of rank 2 or more: its body as a lambda."""
+        if current.scalar or len(current.shape) < 2 or any(isinstance(x, (Tap, Each)) for f in s.body for x in f.steps):
+            raise NotLowered("each")
+        rank, axis = len(current.shape), 0 if s.axis is None else axis_of(s.axis, len(current.shape))
+        n, inner = current.shape[axis], current.shape[:axis] + current.shape[axis + 1 :]
+        size = math.prod(inner)
+        if not n or not size:
+            raise NotLowered("an empty loop")
+        places = np.moveaxis(np.arange(n * size).reshape(current.shape), axis, 0).reshape(-1)
+        shapes = []
+
+        def body(part: Column) -> Column:
+            one = Lane(part, current.dtype, inner)
+            out = self.body(s.body, env | {s.var: one}, one)
+            if out.scalar or (out.dtype, len(out.shape)) != (current.dtype, rank - 1):
+                raise NotLowered("a loop that changes the type")
+            shapes.append(out.shape)
+            return out.expr
+
+        each = lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: body(F.slice(m, k * size + 1, F.lit(size)))))
+        out = C.let(C.gather(current.expr, places.tolist(), current.dtype), each)
+        shape = shapes[0]
+        whole = shape[:axis] + (n,) + shape[axis:]
+        back = np.moveaxis(np.arange(n * math.prod(shape)).reshape((n, *shape)), 0, axis).reshape(-1)
+        return Lane(C.let(out, lambda m: C.gather(m, back.tolist(), current.dtype)), current.dtype, whole)
+
     def branch(self, s: Branch, env: dict, current: Lane) -> Lane:
         if any(isinstance(x, Tap) for _, body in s.arms for f in body for x in f.steps) or any(isinstance(x, Tap) for f in s.otherwise or () for x in f.steps):
             raise NotLowered("a tap in a branch")
@@ -201,35 +231,84 @@ class Lowering:
             if (args.text("approximate", at=0) or "none").strip().lower() == "tanh":
                 return self.mapped(v, lambda e: C.gelu_tanh(e.cast("double")))
             return self.mapped(v, lambda e: F.lit(0.5) * e * (F.lit(1.0) + C.erf(e / F.lit(math.sqrt(2))))) if v.dtype == "f32" else None
-        if v.scalar or len(v.shape) != 1:
+        if v.scalar or not math.prod(v.shape):
             return None
-        if name in _AXIS and (args.integer("axis", "dim", at=0, default=-1) <= 0):
-            return Lane(C.softmax(v.expr, v.dtype, name == "log_softmax"), v.dtype, v.shape)
-        if name in ("layer_norm", "rms_norm"):
-            return Lane(getattr(C, name)(v.expr, args.number("eps", at=0, default=1e-5), v.dtype), v.dtype, v.shape)
-        return None
+        rank = len(v.shape)
+        eps = args.number("eps", at=0, default=1e-5)
+        f = {
+            "softmax": lambda x: C.softmax(x, v.dtype), "log_softmax": lambda x: C.softmax(x, v.dtype, True),
+            "layer_norm": lambda x: C.layer_norm(x, eps, v.dtype), "rms_norm": lambda x: C.rms_norm(x, eps, v.dtype),
+        }.get(name)
+        if f is None:
+            return None
+        axis = args.integer("axis", "dim", at=0, default=-1) if name in _AXIS else -1
+        if axis >= rank:
+            raise NotLowered("an axis out of range")
+        axis = max(axis + rank, 0) if axis < 0 else axis
+        return Lane(f(v.expr) if rank == 1 else self.lanes(v, axis, f, True), v.dtype, v.shape)
+
+    def lanes(self, v: Lane, axis: int, f, whole: bool) -> Column:
+        """f over the lanes along an axis, in C order of the other axes: the axis
+        is moved last by a gather, and each lane is a slice. ``whole``: f gives
+        lanes, which go back to their places; else one element each."""
+        size = v.shape[axis]
+        places = np.moveaxis(np.arange(math.prod(v.shape)).reshape(v.shape), axis, -1).reshape(-1)
+        n = len(places) // size
+        each = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: f(F.slice(m, k * size + 1, F.lit(size))))
+        out = C.let(C.gather(v.expr, places.tolist(), v.dtype), each)
+        if not whole:
+            return out
+        back = np.argsort(places, kind="stable").tolist()
+        return C.let(F.flatten(out), lambda m: C.gather(m, back, v.dtype))
 
     def _tensor_stats(self, name: str, v: Lane, args: Args) -> Lane | None:
-        if v.scalar:
-            return None
-        axis = args.integer("axis", "dim", at=0 if name not in ("norm",) else 1)
-        one = len(v.shape) == 1 and (axis is None or axis in (0, -1))
-        if args.text("keepdim") is not None:
-            return None
-        if name == "cumsum":
-            return Lane(C.cumsum(v.expr, v.dtype), v.dtype, v.shape) if one else None
-        if name in ("argmin", "argmax"):
-            return Lane(F.array(C.position(v.expr, name == "argmax")), "i32", (1,)) if one else None
-        if axis is not None and not one:
+        if v.scalar or not math.prod(v.shape):
             return None
+        rank = len(v.shape)
+        keep = (args.text("keepdim") or "").strip().lower() in ("true", "1")
+        axis = args.integer("axis", "dim", at=1 if name == "norm" else 0, default={"cumsum": 0, "argmin": -1, "argmax": -1}.get(name))
+        if axis is not None:
+            axis = axis_of(axis, rank)
         t = C.SQL[v.dtype]
+        if name == "cumsum":
+            f = lambda x: C.cumsum(x, v.dtype)
+            return Lane(f(v.expr) if rank == 1 else self.lanes(v, axis, f, True), v.dtype, v.shape)
         unbiased = (args.text("unbiased") or "true").strip().lower() in ("true", "1")
+        p = C.INF if (args.text("p", at=0) or "2").strip().lower() in ("inf", "infinity") else args.number("p", at=0, default=2.0)
         f = {
-            "sum": lambda: C.total(v.expr), "mean": lambda: C.mean(v.expr), "var": lambda: C.variance(v.expr, unbiased), "std": lambda: F.sqrt(C.variance(v.expr, unbiased)),
-            "min": lambda: C.least(v.expr, v.dtype), "max": lambda: C.greatest(v.expr, v.dtype),
-            "norm": lambda: C.norm(v.expr, C.INF if (args.text("p", at=0) or "2").strip().lower() in ("inf", "infinity") else args.number("p", at=0, default=2.0)),
+            "sum": C.total, "mean": C.mean, "var": lambda x: C.variance(x, unbiased), "std": lambda x: F.sqrt(C.variance(x, unbiased)),
+            "min": lambda x: C.least(x, v.dtype), "max": lambda x: C.greatest(x, v.dtype), "norm": lambda x: C.norm(x, p),
+            "argmin": lambda x: C.position(x, False), "argmax": lambda x: C.position(x, True),
         }.get(name)
-        return Lane(f().cast(t), v.dtype, None) if f else None
+        if f is None:
+            return None
+        dtype, kind = ("i32", "int") if name.startswith("arg") else (v.dtype, t)
+        one = lambda x: f(x).cast(kind)
+        left = () if axis is None else v.shape[:axis] + v.shape[axis + 1 :]
+        shape = (1,) * rank if keep and axis is None else v.shape[:axis] + (1,) + v.shape[axis + 1 :] if keep else left
+        if name.startswith("arg"):
+            shape = shape or (1,)
+        out = F.array(one(v.expr)) if axis is None or rank == 1 else self.lanes(v, axis, one, False)
+        return Lane(out, dtype, shape) if shape else Lane(out[0], dtype, None)
+
+    def _linalg_basics(self, name: str, v: Lane, args: Args) -> Lane | None:
+        """What gathers and sums express; results are single precision."""
+        if v.scalar or v.dtype != "f32":
+            return None
+        n = math.prod(v.shape)
+        if name == "dot":
+            return Lane(F.array(F.aggregate(v.expr, F.lit(0.0), lambda a, x: a + x.cast("double") * x).cast("float")), "f32", (1,))
+        if name == "outer" and n * n <= 4096:
+            return Lane(C.let(v.expr, lambda x: F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b)))), "f32", (n, n))
+        if name == "trace" and len(v.shape) == 2:
+            diagonal = np.arange(n).reshape(v.shape).diagonal().tolist()
+            return Lane(C.total(C.gather(v.expr, diagonal, "f32")).cast("float"), "f32", None)
+        if name == "diag" and len(v.shape) == 2:
+            places = np.diag(np.arange(n).reshape(v.shape), args.integer("diagonal", "k", at=0, default=0))
+            return Lane(C.gather(v.expr, places.tolist(), "f32"), "f32", places.shape)
+        return None
+
+    _linalg_blas = _linalg_basics
 
     def _tensor_basics(self, name: str, v: Lane, args: Args) -> Lane | None:
         """Movements are gathers: the kernel moves the places, not the values."""
