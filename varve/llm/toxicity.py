@@ -5,7 +5,7 @@ window, trained in numpy and applied to all overlapping windows."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,20 +76,23 @@ class Evidence:
     """Shrunken log-odds of prefixes and character 4-grams between the toxic
     and the other documents that it is given."""
 
-    def __init__(self, docs: list[tuple[np.ndarray, int]], support: int = 3, shrink: float = 8.0):
-        """docs: (codes of the distinct words, label)."""
+    def __init__(self, docs: Iterable[tuple[str, int]], support: int = 3, shrink: float = 8.0):
+        """docs: (the distinct words, joined by blanks; label)."""
         n = np.zeros(2)
-        seen = np.zeros((2, 2, 1 << BITS), np.int32)
-        for c, y in docs:
+        seen = np.zeros((2, 2, 1 << BITS), np.uint16)  # the sample's bound is far below its range
+        for words, y in docs:
             n[y] += 1
+            c = codes(words.split())
             for k, at in enumerate(places(c)):
                 seen[k, y, np.unique(at[c > 0])] += 1
         self.tables = []
         for k in range(2):
-            both = seen[k].sum(axis=0)
-            odds = np.log((seen[k, 1] + 0.5) / (n[1] + 1)) - np.log((seen[k, 0] + 0.5) / (n[0] + 1))
-            odds = np.where(both >= support, odds * both / (both + shrink), 0)
-            self.tables.append(np.clip(odds * 16, -127, 127).astype(np.int8))
+            table = np.zeros(1 << BITS, np.int8)
+            use = np.flatnonzero(seen[k, 0].astype(np.int32) + seen[k, 1] >= support)
+            c0, c1 = seen[k, 0, use].astype(float), seen[k, 1, use].astype(float)
+            odds = np.log((c1 + 0.5) / (n[1] + 1)) - np.log((c0 + 0.5) / (n[0] + 1))
+            table[use] = np.clip(odds * (c0 + c1) / (c0 + c1 + shrink) * 16, -127, 127).astype(np.int8)
+            self.tables.append(table)
 
     def of(self, c: np.ndarray) -> np.ndarray:
         """(words, LONGEST, 2), 0 behind the end."""
@@ -218,18 +221,19 @@ def train(docs: list[tuple[str, int]], seed: int = 7, epochs: int = 4, least_ste
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs))
     docs = sorted((docs[i] for i in order), key=lambda d: d[1])  # stratified halves
-    words = [words_of(t) for t, _ in docs]
-    distinct = [codes(sorted(set(w))) if w else np.zeros((0, LONGEST), "<u4") for w in words]
     labels = [y for _, y in docs]
     fold = np.arange(len(docs)) % 2
-    crossed = [Evidence([(distinct[i], labels[i]) for i in range(len(docs)) if fold[i] != f]) for f in (0, 1)]
+    # joined: lists of words would take many times the memory
+    distinct = [" ".join(sorted(set(words_of(t)))) for t, _ in docs]
+    crossed = [Evidence((distinct[i], labels[i]) for i in range(len(docs)) if fold[i] != f) for f in (0, 1)]
 
     picked: list[tuple[int, list[str], int]] = []
-    for i, (w, y) in enumerate(zip(words, labels)):
+    for i, (t, y) in enumerate(docs):
+        w = words_of(t)
         if not w:
             continue
-        vocabulary = sorted(set(w))
-        held = dict(zip(vocabulary, crossed[fold[i]].of(distinct[i]).max(axis=1).sum(axis=1)))
+        vocabulary = distinct[i].split()
+        held = dict(zip(vocabulary, crossed[fold[i]].of(codes(vocabulary)).max(axis=1).sum(axis=1)))
         starts = list(range(0, max(1, len(w) - WINDOW + STRIDE), STRIDE))
         worth = sorted(starts, key=lambda s: -max(held[x] for x in w[s : s + WINDOW]))
         use = worth[:1] if y else worth[:2] + [int(rng.choice(starts))]
@@ -254,9 +258,9 @@ def train(docs: list[tuple[str, int]], seed: int = 7, epochs: int = 4, least_ste
     logits = np.empty(len(docs))
     for f in (0, 1):
         at = np.flatnonzero(fold == f)
-        logits[at] = Scorer(p, crossed[f]).logits([docs[i][0] for i in at])
+        logits[at] = Scorer(p, crossed[f], memory=30_000).logits([docs[i][0] for i in at], words=50_000)
     a, b = _scale(np.maximum(logits, -30), np.array(labels))
-    return {"p": p, "evidence": Evidence(list(zip(distinct, labels))), "a": a, "b": b}
+    return {"p": p, "evidence": Evidence(zip(distinct, labels)), "a": a, "b": b}
 
 
 def loss_gradient(p: dict, crossed: list[Evidence], part: list[tuple[int, list[str], int]], weight: dict) -> tuple[float, dict]:
