@@ -18,7 +18,7 @@ from .plans.lower import Lane, Lowering, NotLowered
 from .plans.parser import parse
 from .plans.validate import emit_name, validate
 from .registry import Args
-from .types import DTYPES, LAYOUTS, NAMES, CompileError, EngineError, TypeMismatch, Value, arg, audio, composite, image, raw, tensor
+from .types import DTYPES, NAMES, CompileError, EngineError, TypeMismatch, Value, arg, audio, composite, image, raw, tensor
 
 # Spark's type of an element by dtype; unsigned ones take the next wider.
 ELEMENT = {"u8": T.ShortType(), "i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0), "f32": T.FloatType(), "f64": T.DoubleType()}
@@ -402,5 +402,3 @@ def from_str(text: str) -> Pipeline:
 def load(path: str) -> Pipeline:
     return Pipeline(Path(path).read_text())
 
-
-CHANNEL_LAYOUTS = LAYOUTS

@@ -145,8 +145,4 @@ def cholesky(v: Value, args: Args) -> Value:
     return Value("tensor", np.linalg.cholesky(low + np.tril(a, -1).T).astype(F4))
 
 
-def _any_dtype(f):
-    return f
-
-
 TWIN_KERNELS = {"qr": householder_qr}

@@ -119,7 +119,7 @@ def ordered(program: Program, bound: set[str]) -> list[Flow]:
     """Flows so that each comes after those that write what it reads."""
     ready, left, out = set(bound), list(program.flows), []
     while left:
-        now = [f for f in left if reads(f) - writes(f) <= ready and not (reads(f) & writes(f) - ready and False)]
+        now = [f for f in left if reads(f) <= ready]
         if not now:
             missing = sorted(set.union(*(reads(f) for f in left)) - ready)
             raise CompileError(f"Deadlock or unresolvable variable dependency: {', '.join('$' + m for m in missing)}")
