@@ -84,21 +84,26 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2)
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, from_arrow_schema(PIECES))
 
 
-def pack(rows: DataFrame, shards: int, capacity: int = 1024, open_bins: int = 1024) -> DataFrame:
+def pack(rows: DataFrame, shards: int, capacity: int = 1024, open_bins: int = 4096, block: int = 10_000) -> DataFrame:
     """Place pieces (``pieces``' columns) into sequences; adds sequence_id and offset.
 
-    Documents are dealt to ``shards`` by a hash of doc_id; each shard packs its
-    pieces in the order of (doc_id, piece), holding only the open bins.
-    Sequence numbers are unique over all shards. Repeated rows are packed once
-    each; a null doc_id is a value like any other.
+    Documents are dealt to ``shards`` by a hash of doc_id; each shard takes its
+    pieces in the order of (doc_id, piece), ``block`` at a time, and places a
+    block's pieces by falling length, which leaves less room than any other
+    order. It holds only the block and the open bins. Sequence numbers are
+    unique over all shards. Repeated rows are packed once each; a null doc_id is
+    a value like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        for batch in batches:
-            put = [bins.place(n) for n in batch.column(3).to_pylist()]
+        for batch in (b.slice(i, block) for b in batches for i in range(0, b.num_rows, block)):
+            sizes = batch.column(3).to_pylist()
+            put: list[tuple[int, int]] = [(0, 0)] * len(sizes)
+            for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+                put[i] = bins.place(sizes[i])
             more = list(zip(*put)) or [[], []]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(more[0], pa.int64()), pa.array(more[1], pa.int64())], schema=PLACED)
 
@@ -106,7 +111,7 @@ def pack(rows: DataFrame, shards: int, capacity: int = 1024, open_bins: int = 10
     return dealt.mapInArrow(run, from_arrow_schema(PLACED))
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2, open_bins: int = 1024, docs_per_shard: int = 50_000) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2, open_bins: int = 4096, docs_per_shard: int = 50_000) -> DataFrame:
     """Tokenize whole documents and pack them into sequences of ``capacity``.
 
     docs: doc_id, text (null: empty); other columns are ignored. Each document
