@@ -73,11 +73,12 @@ def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Evidence:
-    """Shrunken log-odds of prefixes and character 4-grams between the toxic
-    and the other documents that it is given."""
+    """Log-odds of prefixes and character 4-grams between the toxic and the other
+    documents that it is given."""
 
-    def __init__(self, docs: Iterable[tuple[str, int]], support: int = 3, shrink: float = 8.0):
-        """docs: (the distinct words, joined by blanks; label)."""
+    def __init__(self, docs: Iterable[tuple[str, int]], support: int = 3, sure: float = 4.0):
+        """docs: (the distinct words, joined by blanks; label). What differs from
+        its expected share by less than ``sure`` standard deviations is no evidence."""
         n = np.zeros(2)
         seen = np.zeros((2, 2, 1 << BITS), np.uint16)  # the sample's bound is far below its range
         for words, y in docs:
@@ -91,7 +92,9 @@ class Evidence:
             use = np.flatnonzero(seen[k, 0].astype(np.int32) + seen[k, 1] >= support)
             c0, c1 = seen[k, 0, use].astype(float), seen[k, 1, use].astype(float)
             odds = np.log((c1 + 0.5) / (n[1] + 1)) - np.log((c0 + 0.5) / (n[0] + 1))
-            table[use] = np.clip(odds * (c0 + c1) / (c0 + c1 + shrink) * 16, -127, 127).astype(np.int8)
+            p = n[1] / n.sum()
+            spread = np.sqrt((c0 + c1) * p * (1 - p))
+            table[use] = np.where(np.abs(c1 - (c0 + c1) * p) > sure * spread, np.clip(odds * 16, -127, 127), 0).astype(np.int8)
             self.tables.append(table)
 
     def of(self, c: np.ndarray) -> np.ndarray:
@@ -122,7 +125,7 @@ class Scorer:
     """Largest window logit of texts. Word projections are kept for words that
     come again, up to ``memory`` of them."""
 
-    def __init__(self, p: dict, evidence: Evidence, memory: int = 300_000):
+    def __init__(self, p: dict, evidence: Evidence, memory: int = 150_000):
         self.p, self.evidence, self.memory = p, evidence, memory
         self._reset()
 
@@ -175,7 +178,7 @@ class Scorer:
         np.maximum.at(best, np.repeat(np.arange(len(lengths)), count), logits)
         return best
 
-    def logits(self, texts: list[str], words: int = 400_000) -> np.ndarray:
+    def logits(self, texts: list[str], words: int = 200_000) -> np.ndarray:
         """Very long texts go in parts; neighbouring parts share no window but
         a window's worth of words."""
         best = np.full(len(texts), -np.inf, np.float32)
