@@ -143,7 +143,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         base = f"cast({k << 22} | (shiftrightunsigned(fp, {lo}) & {(1 << width) - 1}) as int)"
         keys.append(f"array(struct({base} as key, 0 as kind))")
         keys.append(f"transform(sequence(0, {width - 1}), j -> struct({base} ^ shiftleft(1, j) as key, 1 as kind))")
-    probes = distinct.selectExpr("fp", f"explode(concat({', '.join(keys)})) as x").selectExpr("x.key as key", "cast(x.kind as tinyint) as kind", "fp")
+    probes = distinct.selectExpr("fp", f"explode_outer(concat({', '.join(keys)})) as x").selectExpr("x.key as key", "cast(x.kind as tinyint) as kind", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +191,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
            .join(roots, "root").select(F.col("node").alias("fp"), "component_id"))
     # fingerprints without links stand for themselves
     of = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    of = written(of, "components")  # so that the next join can split a fingerprint that very many rows share
     hex_ = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(of, "fp").select("doc_id", hex_, "component_id")
 
