@@ -130,7 +130,8 @@ def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_WE
     known = plan(docs, weights, share, 1, seed)
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     domain = level("domain") if "domain" in docs.columns else domain_of(level("source"))
-    leaf = known.select(*[F.col(c).alias(f"leaf_{c}") for c in LEVELS], F.col("epochs").alias("leaf_epochs"), "last")
-    on = (domain == F.col("leaf_domain")) & (level("lang") == F.col("leaf_lang")) & (level("source") == F.col("leaf_source"))
-    taken = (F.col("leaf_epochs") > 0) | (order_key(seed, "leaf_epochs") <= F.col("last"))
+    mark = max((c for c in docs.columns), key=len, default="") + "_"  # names that no column of docs has
+    leaf = known.select(*[F.col(c).alias(f"{mark}{c}") for c in (*LEVELS, "epochs", "last")])
+    on = (domain == F.col(f"{mark}domain")) & (level("lang") == F.col(f"{mark}lang")) & (level("source") == F.col(f"{mark}source"))
+    taken = (F.col(f"{mark}epochs") > 0) | (order_key(seed, f"{mark}epochs") <= F.col(f"{mark}last"))
     return docs.join(leaf, on).where(taken).select(*docs.columns)
