@@ -17,7 +17,7 @@ from .plans.interpreter import Interpreter, as_text
 from .plans.lower import Lane, Lowering, NotLowered
 from .plans.parser import parse
 from .plans.validate import emit_name, validate
-from .registry import Args
+from .registry import BUILT_IN, Args, packs
 from .types import DTYPES, NAMES, CompileError, EngineError, TypeMismatch, Value, arg, audio, composite, image, raw, tensor
 
 # Spark's type of an element by dtype; unsigned ones take the next wider.
@@ -258,9 +258,11 @@ class Pipeline:
         return list(self.interpreter.params)
 
     def __getstate__(self):
-        return {"text": self.text}
+        # executors know the packs of this library; others travel with the pipeline
+        return {"text": self.text, "packs": {p: a for p, a in packs().items() if p not in BUILT_IN}}
 
     def __setstate__(self, state):
+        packs().update(state["packs"])
         self.__init__(state["text"])
 
     # values

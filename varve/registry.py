@@ -43,6 +43,7 @@ TWINS = {
     "linalg_blas": ("linalg_basics", "matmul dot outer inv det qr cholesky".split()),
     "image_opencv": ("image_basics", "rotate resize gaussian_blur morphology edge_detect sharpen".split()),
 }
+BUILT_IN = frozenset(("base", "math_basics", "tensor_basics", "tensor_stats", "nn_basics", "linalg_basics", "audio_basics", "image_basics", *TWINS))
 PLUGINS = {"tensor_blas": "openblas", "linalg_blas": "openblas", "image_opencv": "opencv-bridge"}
 
 
