@@ -23,7 +23,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 SKIPPED = frozenset("script style textarea title xmp noembed noframes iframe head nav footer aside form noscript template svg canvas object audio video button select dialog menu map math applet".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-BOILERPLATE = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager search copyright disclaimer".split())
+BOILERPLATE = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager search copyright disclaimer adsbygoogle warning announcement notification aside topbar toc".split())
+TITLES = frozenset("article post entry content main page title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(("article", "main"))
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -52,7 +53,8 @@ def _is_boilerplate(name: str, attrs: dict[str, str], inside: bool) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
         return True
     said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w.lower() in BOILERPLATE for w in _WORDS.findall(said))
+    words = {w.lower() for w in _WORDS.findall(said)}
+    return bool(words & BOILERPLATE) or "header" in words and not inside and not words & TITLES
 
 
 def items(page: str) -> list[Item]:
