@@ -126,14 +126,30 @@ def bucket_links(keys: np.ndarray, kinds: np.ndarray, fps: np.ndarray, radius: i
     return a_[a_ != b_], b_[a_ != b_]
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def spread(probes: DataFrame, most: int) -> DataFrame:
+    """Deals the rows of buckets with over ``most`` table entries to pairs of
+    chunks: entries of two chunks meet under one new key, probes meet each
+    chunk. Keys are hashes; a collision only adds pairs, which are verified."""
+    hot = probes.where("kind = 0").groupBy("key").agg(F.ceil(F.count("*") / most).alias("k")).where("k > 1")
+    hot = written(hot, "hot")
+    if not hot.limit(1).count():
+        return probes
+    dealt = probes.join(hot, "key", "left").withColumn("slot", F.pmod(F.xxhash64("fp"), "k"))
+    each = F.explode_outer(F.when(F.col("k").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("key", "kind", "fp", "k", "slot", each.alias("d"))
+    met = F.when(F.col("kind") == 0, F.xxhash64("key", F.least("slot", "d"), F.greatest("slot", "d"))).otherwise(F.xxhash64("key", "d", "d"))
+    return dealt.select(F.when(F.col("k").isNull(), F.col("key")).otherwise(met).alias("key"), "kind", "fp")
+
+
+def links(distinct: DataFrame, radius: int = 4, most: int = 8192) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that differ in at most
     ``radius`` bits; they connect all that the full set of links connects.
 
     Of at most ``radius`` < 6 differing bits, some segment holds at most one: every fingerprint enters three tables by its exact
     segments and probes each with the segment's Hamming ball of radius 1. Full
     distances are verified inside the bucket. Probes and entries stream past in
-    the order of their key; a task holds one bucket's entries.
+    the order of their key. Buckets of over ``most`` entries are split, so that
+    a task holds at most two times as many at once.
     """
     if radius // len(SEGMENTS) > 1:
         raise ValueError("the balls have radius 1: radius must be at most 5")
@@ -143,7 +159,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         base = f"cast({k << 22} | (shiftrightunsigned(fp, {lo}) & {(1 << width) - 1}) as int)"
         keys.append(f"array(struct({base} as key, 0 as kind))")
         keys.append(f"transform(sequence(0, {width - 1}), j -> struct({base} ^ shiftleft(1, j) as key, 1 as kind))")
-    probes = distinct.selectExpr("fp", f"explode_outer(concat({', '.join(keys)})) as x").selectExpr("x.key as key", "cast(x.kind as tinyint) as kind", "fp")
+    probes = distinct.selectExpr("fp", f"explode_outer(concat({', '.join(keys)})) as x").selectExpr("cast(x.key as bigint) as key", "cast(x.kind as tinyint) as kind", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +187,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
             yield out(tuple(np.concatenate(c) for c in zip(*held)))
 
     n = partitions(distinct.sparkSession)
-    return probes.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, from_arrow_schema(schema))
+    return spread(probes, most).repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, from_arrow_schema(schema))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
