@@ -104,10 +104,13 @@ def gram(df: DataFrame, lane: Column, size: int) -> DataFrame:
     return each.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
 
 
-def outer(a: DataFrame, b: DataFrame) -> DataFrame:
-    """[m] x [n], for a ``b`` of few elements: it is gathered into each row of a."""
-    lane = b.agg(F.sort_array(F.collect_list(F.struct("i0", "v"))).alias("lane"))
-    rows = a.select(F.col("i0").alias("m"), F.col("v").alias("a"), F.lit(1).alias("one")).join(F.broadcast(lane.withColumn("one", F.lit(1))), "one")
+def outer(a: DataFrame, b: DataFrame, block: int = 4096) -> DataFrame:
+    """[m] x [n]: b in blocks of indices, each a bounded lane, and each element of
+    a once for every block that it meets."""
+    lanes = b.groupBy(F.floor(F.col("i0") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i0", "v"))).alias("lane"))
+    last = b.agg(F.floor(F.max("i0") / block)).first()[0]
+    blocks = F.sequence(F.lit(0).cast("long"), F.lit(last if last is not None else 0).cast("long"))
+    rows = a.select(F.col("i0").alias("m"), F.col("v").alias("a"), F.explode(blocks).alias("block")).join(lanes, "block")
     return rows.select("m", "a", F.explode("lane").alias("x")).select(F.col("m").alias("i0"), F.col("x.i0").alias("i1"), (F.col("a") * F.col("x.v")).alias("v"))
 
 
