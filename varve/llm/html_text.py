@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,13 +23,16 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Elements by how they take part.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-SKIPPED = frozenset("script style textarea title xmp noembed noframes iframe head nav footer aside form noscript template svg canvas object audio video button select dialog menu map math applet".split())
+SKIPPED = frozenset("script style textarea title xmp noembed noframes iframe head nav footer aside form noscript template svg canvas object audio video button select dialog menu map annotation annotation-xml applet".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 BOILERPLATE = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager search copyright disclaimer adsbygoogle warning announcement notification aside topbar toc".split())
 TITLES = frozenset("article post entry content main page title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(("article", "main"))
-INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom mmultiscripts semantics".split())
+#: Marks of lists of articles that are none of the page's own text.
+CARDS = frozenset("comment comments disqus reply replies respond related recommended recommendations".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -39,27 +44,47 @@ class Item:
     text: str = ""
     breaks: bool = False
     content: bool = False
+    low: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
-def _is_boilerplate(name: str, attrs: dict[str, str], inside: bool) -> bool:
-    if name in SKIPPED or name == "header" and not inside:
-        return True
-    if name in ("html", "body") or name in CONTENT and not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
-    said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    words = {w.lower() for w in _WORDS.findall(said)}
-    return bool(words & BOILERPLATE) or "header" in words and not inside and not words & TITLES
+def _said(text: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(text)}
+
+
+def _is_left_out(name: str, attrs: dict[str, str]) -> bool:
+    """Whether the element shows no text of the page's own, whatever it holds."""
+    return name in SKIPPED and name != "form" or name not in ("html", "body") and ("hidden" in attrs or attrs.get("aria-hidden") == "true")
+
+
+def _marks(name: str, attrs: dict[str, str], inside: bool, heading: str) -> set[str]:
+    """What marks the element as boilerplate: its name, role or words of its
+    class and id. Headings, article and main are not known by class and id.
+    Ids inside an article that name a section, or repeat the heading that the
+    element begins with, say what the text is about."""
+    if name in ("html", "body"):
+        return set()
+    if name == "form" or name == "header" and not inside:
+        return {name}
+    if (role := attrs.get("role", "").lower()) in ROLES:
+        return {role}
+    if name in CONTENT or name in HEADINGS:
+        return set()
+    of_class, of_id = _said(attrs.get("class", "")), _said(attrs.get("id", ""))
+    if inside and not of_id <= BOILERPLATE and (name == "section" or of_id <= _said(heading.lower())):
+        of_id = set()
+    words = of_class | of_id
+    return words & BOILERPLATE or ({"header"} if "header" in words and not inside and not words & TITLES else set())
 
 
 def items(page: str) -> list[Item]:
     """The page's visible runs and tags in order; boilerplate elements that
-    their name, role, class or id tells are left out whole."""
+    their name, role, class or id tells are left out whole, but for those that
+    hold an article or main element or, where none stands elsewhere, most of the
+    page's words. Comments and the like that hold later articles stay as low."""
     out: list[Item] = []
     tags: list[tuple[int, int, bool, str, str]] = []  # start, end, closing, name, attributes
     at = 0
@@ -72,23 +97,56 @@ def items(page: str) -> list[Item]:
             at = end.start() if end else len(page)
     skip_until, open_, inside = -1, [], 0
     ends = _closers(tags)
+    landmarks = [k for k, t in enumerate(tags) if t[3] in CONTENT and not t[2]]
+    mains = [0, *accumulate(tags[x][3] == "main" for x in landmarks)]
+    upto: list[int] = []  # words before each tag
+    low_until = -1
+
+    def holds(k: int, end: int) -> tuple[bool, bool]:
+        """Whether element k is to stay, and whether as low, for what it holds."""
+        first, after = bisect_right(landmarks, k), bisect_right(landmarks, end)
+        if first < after:
+            return True, first > 0 and mains[after] == mains[first]
+        if landmarks:
+            return False, False
+        if not upto:
+            at = n = 0
+            for i, (start, stop, closing, name, _) in enumerate(tags):
+                raw = i and tags[i - 1][3] in RAW and not tags[i - 1][2]
+                n += 0 if raw else len(page[at:start].split())
+                upto.append(n)
+                at = stop
+            upto.append(n + len(page[at:].split()))
+        return 2 * (upto[min(end, len(tags) - 1) + (end >= len(tags))] - upto[k]) > upto[-1], False
+
     at = 0
     for k, (start, end, closing, name, raw) in enumerate([*tags, (len(page), len(page), True, "", "")]):
         if k > skip_until and start > at:
             text = html.unescape(page[at:start])
             if n := len(text.split()):
                 block = next((x for x in reversed(open_) if x in BLOCKS), "body")
-                out.append(Item(f"{block}{'>a' if 'a' in open_[-3:] else ''}", n, text, False, inside > 0))
+                out.append(Item(f"{block}{'>a' if 'a' in open_[-3:] else ''}", n, text, False, inside > 0 and k > low_until, k <= low_until))
             elif text:
                 out.append(Item("space", 0, text, False, inside > 0))
         at = end
         if not name or k <= skip_until:
             continue
         attrs = _attributes(raw) if raw and not closing else {}
-        if not closing and name not in VOID and _is_boilerplate(name, attrs, inside > 0):
-            skip_until = ends.get(k, k)
-            out.append(Item("gone", breaks=name in BLOCKS))
-            continue
+        if not closing and name not in VOID:
+            gone = _is_left_out(name, attrs)
+            if not gone and (name in ("form", "header") or attrs):
+                stop, heading = ends.get(k, k), ""
+                if k + 2 < len(tags) and tags[k + 1][3] in HEADINGS and not page[end : tags[k + 1][0]].strip():
+                    heading = re.sub("<[^>]*>", " ", page[tags[k + 1][1] : tags[ends.get(k + 1, k + 2)][0]])
+                if marks := _marks(name, attrs, inside > 0, heading):
+                    stays, low = holds(k, stop)
+                    gone = not stays
+                    if low and marks & CARDS:
+                        low_until = max(low_until, stop)
+            if gone:
+                skip_until = ends.get(k, k)
+                out.append(Item("gone", breaks=name in BLOCKS))
+                continue
         if closing and name in CONTENT:
             inside = max(0, inside - 1)
         out.append(Item("/" * closing + name, 0, " " if name == "br" else "", name in BLOCKS, inside > 0))
@@ -157,6 +215,8 @@ class Weights:
             return 0.0
         if i.key == "gone":
             return -0.02
+        if i.words and i.low:
+            return -0.2 * i.words
         if i.words:
             return i.words * self.share(i.key, 0.1 if i.key.endswith(">a") else 0.6)
         name = i.key.lstrip("/")
