@@ -125,13 +125,17 @@ def mixture(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_
     return rows.select("doc_id", *LEVELS, "tokens", copies.alias("copies")).where("copies > 0")
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_WEIGHTS, share: float = 0.95, seed: int = 42) -> DataFrame:
-    """The rows of docs that ``mixture`` takes with one epoch at most."""
-    known = plan(docs, weights, share, 1, seed)
+def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_WEIGHTS, share: float = 0.95, seed: int = 42, max_epochs: int = 1) -> DataFrame:
+    """The rows of docs that ``mixture`` takes, each as often as its copies say.
+    With one epoch the weights act only as far as small leaves have the tokens."""
+    known = plan(docs, weights, share, max_epochs, seed)
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     domain = level("domain") if "domain" in docs.columns else domain_of(level("source"))
     mark = max((c for c in docs.columns), key=len, default="") + "_"  # names that no column of docs has
     leaf = known.select(*[F.col(c).alias(f"{mark}{c}") for c in (*LEVELS, "epochs", "last")])
     on = (domain == F.col(f"{mark}domain")) & (level("lang") == F.col(f"{mark}lang")) & (level("source") == F.col(f"{mark}source"))
-    taken = (F.col(f"{mark}epochs") > 0) | (order_key(seed, f"{mark}epochs") <= F.col(f"{mark}last"))
-    return docs.join(leaf, on).where(taken).select(*docs.columns)
+    copies = F.col(f"{mark}epochs") + (order_key(seed, f"{mark}epochs") <= F.col(f"{mark}last")).cast("long")
+    taken = docs.join(leaf, on).withColumn(f"{mark}copies", copies).where(F.col(f"{mark}copies") > 0)
+    if max_epochs > 1:
+        taken = taken.withColumn(f"{mark}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{mark}copies"))))
+    return taken.select(*docs.columns)
