@@ -40,16 +40,19 @@ def fingerprint(text: bytes, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Whole texts; null is empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. Whole texts; null is
+    empty. ``hashed`` adds text_hash, the text's xxhash64."""
+    more = ["text_hash"] * hashed
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", *more, "fp")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t, size, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps.view(np.int64))], schema=schema)
 
-    return docs.select("doc_id", text_of(docs).cast("binary").alias("text")).mapInArrow(run, from_arrow_schema(schema))
+    hashes = [F.xxhash64(text_of(docs)).alias(c) for c in more]
+    return docs.select("doc_id", text_of(docs).cast("binary").alias("text"), *hashes).mapInArrow(run, from_arrow_schema(schema))
 
 
 def _pairs(start: np.ndarray, of: np.ndarray, count: np.ndarray, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,7 +202,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
     and share a component; a null doc_id is kept and never names a component
     unless all its members are null. An empty table gives an empty result.
     """
-    fps = written(fingerprints(docs, size, seed), "fps")
+    hex_ = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return _placed(fingerprints(docs, size, seed), radius).select("doc_id", hex_, "component_id")
+
+
+def _placed(rows: DataFrame, radius: int) -> DataFrame:
+    """Adds component_id to the rows of ``fingerprints``."""
+    fps = written(rows, "fps")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fp")
     roots = written(components(links(distinct, radius)), "roots")
     ids = (roots.join(distinct, roots["node"] == distinct["fp"])
@@ -208,13 +217,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, size: int = 4, seed: int =
     # fingerprints without links stand for themselves
     of = distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     of = written(of, "components")  # so that the next join can split a fingerprint that very many rows share
-    hex_ = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(of, "fp").select("doc_id", hex_, "component_id")
+    return fps.join(of, "fp").select(*fps.columns, "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, size: int = 4, seed: int = 42) -> DataFrame:
     """The rows of docs without near copies: of each component the one with the
     smallest doc_id stays, of rows repeated under that id every one with a
-    distinct text; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, radius, size, seed).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    distinct text; rows with a null doc_id stay. Texts that share a doc_id stay
+    or go each by its own component."""
+    placed = _placed(fingerprints(docs, size, seed, hashed=True), radius)
+    mark = max((c for c in docs.columns), key=len, default="") + "_"  # names that no column of docs has
+    gone = placed.where("component_id <> doc_id").select(F.col("doc_id").alias(f"{mark}id"), F.col("text_hash").alias(f"{mark}hash")).distinct()
+    same = (F.col("doc_id") == F.col(f"{mark}id")) & (F.col(f"{mark}text") == F.col(f"{mark}hash"))
+    return docs.withColumn(f"{mark}text", F.xxhash64(text_of(docs))).join(gone, same, "left_anti").select(*docs.columns)
