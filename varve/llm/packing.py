@@ -84,31 +84,29 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2)
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, from_arrow_schema(PIECES))
 
 
-def pack(rows: DataFrame, shards: int, capacity: int = 1024, open_bins: int = 4096, block: int = 10_000) -> DataFrame:
+def pack(rows: DataFrame, shards: int, capacity: int = 1024, open_bins: int = 4096, waves: int = 8) -> DataFrame:
     """Place pieces (``pieces``' columns) into sequences; adds sequence_id and offset.
 
-    Documents are dealt to ``shards`` by a hash of doc_id; each shard takes its
-    pieces in the order of (doc_id, piece), ``block`` at a time, and places a
-    block's pieces by falling length, which leaves less room than any other
-    order. It holds only the block and the open bins. Sequence numbers are
-    unique over all shards. Repeated rows are packed once each; a null doc_id is
-    a value like any other.
+    Pieces are dealt to ``shards`` by a hash of doc_id and their place in the
+    table, so that no id of many rows fills one. The order of arrival is that of
+    a sort: ``waves`` waves by another such hash, and in each the longest pieces
+    first, which leaves less room than other orders. Each piece is placed as it
+    arrives, whatever batch it comes in; a shard holds only the open bins.
+    Sequence numbers are unique over all shards. Repeated rows are packed once
+    each; a null doc_id is a value like any other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bins = OpenBins(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        for batch in (b.slice(i, block) for b in batches for i in range(0, b.num_rows, block)):
-            sizes = batch.column(3).to_pylist()
-            put: list[tuple[int, int]] = [(0, 0)] * len(sizes)
-            for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-                put[i] = bins.place(sizes[i])
-            more = list(zip(*put)) or [[], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(more[0], pa.int64()), pa.array(more[1], pa.int64())], schema=PLACED)
-
-    dealt = rows.repartition(shards, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "piece", "start", "length", "ids_crc32")
-    return dealt.mapInArrow(run, from_arrow_schema(PLACED))
+        for batch in batches:
+            put = list(zip(*map(bins.place, batch.column(3).to_pylist()))) or [[], []]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(put[0], pa.int64()), pa.array(put[1], pa.int64())], schema=PLACED)
+
+    dealt = rows.withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id())).repartition(shards, "deal")
+    wave = F.pmod(F.xxhash64("deal"), F.lit(waves))
+    return dealt.sortWithinPartitions(wave, F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, from_arrow_schema(PLACED))
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 1024, eos: int = 2, open_bins: int = 4096, docs_per_shard: int = 50_000) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 
 SPECIAL = "<|endoftext|>"
+#: Runs of white space that the fast encoder's pattern could not take in one go.
+LONG_RUN = re.compile(r"\s{10000}")
 
 
 class Ids:
@@ -13,8 +16,9 @@ class Ids:
 
     The rank file beside it holds the same vocabulary; its encoder yields the
     same ids several times faster (a test compares them). Texts that hold the
-    special token's string, which only the first library knows, and files
-    without a rank file go to ``tokenizers`` itself.
+    special token's string, which only the first library knows, or very long
+    runs of white space, and files without a rank file go to ``tokenizers``
+    itself.
     """
 
     def __init__(self, path: str):
@@ -35,7 +39,7 @@ class Ids:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or SPECIAL in text:
+        if self.fast is None or SPECIAL in text or len(text) >= 10_000 and LONG_RUN.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
