@@ -12,26 +12,18 @@ from .common import text_of, written
 
 #: Neighbours in doc_id order meet in buckets of 2**BUCKET ids.
 BUCKET = 6
-#: Block bounds of the tables: any two of the five blocks make a table's key.
-BLOCKS = (0, 13, 26, 39, 52, 64)
 
 
-def term_hashes(text: str, size: int = 5, short: int = 28) -> list[str]:
+def term_hashes(text: str, size: int = 5) -> list[str]:
     """SQL for the term hashes of a text column, in steps to be selected one
-    after the other as w and then t. Terms are word shingles, each as often as it
-    occurs; a text of fewer than ``size`` words is one term. In texts of fewer
-    than ``short`` words shingles count double and single words once, so that
-    short texts have enough terms to compare."""
+    after the other as w and then t: for each place its pair of neighbouring
+    words (p) and, where ``size`` words follow, their shingle (s). Every term
+    counts as often as it occurs; the only word of a text is a term."""
     words = f"filter(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    shingle = f"xxhash64({', '.join(f'w[i + {k}]' for k in range(size))})"
     return [f"transform({words}, w -> xxhash64(w))", f"""
-        CASE WHEN size(w) = 0 THEN cast(array() AS array<bigint>)
-        WHEN size(w) < {size} THEN concat(array(xxhash64(w)), array(xxhash64(w)), w)
-        WHEN size(w) < {short} THEN concat({", ".join([shingles(size)] * 2)}, w)
-        ELSE {shingles(size)} END"""]
-
-
-def shingles(size: int) -> str:
-    return f"transform(sequence(0, size(w) - {size}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(size))}))"
+        transform(if(size(w) = 0, cast(array() AS array<int>), sequence(0, greatest(size(w) - 2, 0))),
+        i -> named_struct('p', xxhash64(w[i], get(w, i + 1)), 's', if(i + {size} <= size(w), {shingle}, cast(null AS bigint))))"""]
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -42,10 +34,12 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFr
     set in over half of the votes; texts without terms have fingerprint 0.
     """
     w, t = term_hashes(text)
-    terms = rows.selectExpr(*keys, f"{w} AS w").selectExpr(*keys, f"{t} AS t").select(*keys, F.explode_outer("t").alias("h"))
+    terms = rows.selectExpr(*keys, f"{w} AS w").selectExpr(*keys, f"{t} AS t").select(*keys, F.explode_outer("t").alias("t"))
+    terms = terms.select(*keys, "t.p", F.coalesce("t.s", F.lit(0)).alias("s"), F.col("t.s").isNotNull().cast("int").alias("has"))
     lanes = F.lit((1 << 32) | 1)
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes)).alias(f"s{i}") for i in range(32)]
-    votes = terms.groupBy(*keys).agg(F.count("h").alias("n"), *sums)
+    lane = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(lanes)
+    sums = [F.sum(lane("p", i) + lane("s", i)).alias(f"s{i}") for i in range(32)]
+    votes = terms.groupBy(*keys).agg((F.count("p") + F.sum("has")).alias("n"), *sums)
     fp = F.lit(0).cast("long")
     for i in range(32):
         low, high = F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(f"s{i}", 32)
@@ -60,23 +54,45 @@ def likeness(a: Column, b: Column) -> Column:
     return (64 - F.bit_count(a.bitwiseXOR(b))) / F.lit(64.0)
 
 
-def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b), a < b: all pairs of fingerprints within ``radius`` bits.
+def block_bounds(radius: int, n: int) -> list[int]:
+    """Bounds of the blocks for n fingerprints: as few blocks over ``radius`` + 2
+    as let those that lead a table hold at least log2(n) bits, so that a bucket
+    holds few rows whatever their number."""
+    count = radius + 2
+    while 64 * (count - radius) // count < n.bit_length() and count < radius + 5:
+        count += 1
+    return [64 * k // count for k in range(count + 1)]
+
 
-    distinct: fp, each value once. Of five blocks at least two are free of the
-    at most three differing bits: for every pair of blocks a table holds the
+def near_links(distinct: DataFrame, radius: int = 3, n: int | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of fingerprints within ``radius`` bits, each once.
+
+    distinct: fp, each value once. Differing bits leave all but ``radius`` of the
+    blocks equal: for every choice of so many blocks a table holds the
     fingerprints permuted so that these lead, and rows that agree on them meet.
+    A pair that meets in several tables is taken from the first.
     """
-    if radius > 3:
-        raise ValueError("two equal blocks of five allow a radius of at most 3")
+    bounds = block_bounds(radius, distinct.count() if n is None else n)
+    tables = list(combinations(range(len(bounds) - 1), len(bounds) - 1 - radius))
+    part = lambda c, j: F.shiftrightunsigned(c, bounds[j]).bitwiseAND(F.lit((1 << (bounds[j + 1] - bounds[j])) - 1))
     rows = []
-    for k, (p, q) in enumerate(combinations(range(5), 2)):
-        part = lambda j: F.shiftrightunsigned("fp", BLOCKS[j]).bitwiseAND(F.lit((1 << (BLOCKS[j + 1] - BLOCKS[j])) - 1))
-        rows.append(F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(part(p), 13)).bitwiseOR(part(q)))
-    tables = distinct.select("fp", F.explode(F.array(*rows)).alias("key"))
-    a, b = tables.select("key", F.col("fp").alias("a")), tables.select("key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    for k, blocks in enumerate(tables):
+        key = F.lit(k).cast("long")
+        for j in blocks:
+            key = F.shiftleft(key, bounds[j + 1] - bounds[j]).bitwiseOR(part(F.col("fp"), j))
+        rows.append(F.struct(F.lit(k).alias("k"), key.alias("key")))
+    entries = distinct.select("fp", F.explode(F.array(*rows)).alias("x"))
+    a, b = entries.select("x.k", "x.key", F.col("fp").alias("a")), entries.select("x.key", F.col("fp").alias("b"))
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    equal = lambda blocks: x.bitwiseAND(F.lit(_signed(sum((1 << bounds[j + 1]) - (1 << bounds[j]) for j in blocks)))) == 0
+    earliest = F.lit(len(tables))
+    for k in reversed(range(len(tables))):
+        earliest = F.when(equal(tables[k]), F.lit(k)).otherwise(earliest)
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & (F.col("k") == earliest)).select("a", "b")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def successors(buckets: DataFrame, levels: int = 10, step: int = 7) -> DataFrame:
@@ -139,8 +155,9 @@ def edited_pairs(docs: DataFrame, radius: int = 3) -> DataFrame:
     one = lambda edit, c: F.max(F.when(F.col("edit") == edit, F.col(c)))
     fps = written(fps.groupBy(*facts).agg(one(0, "fp").alias("fp"), one(1, "fp").alias("edited_fp"), one(1, "sha").alias("edited_sha256")), "fingerprints")
     after = fps.select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("fp").alias("next_fp"))
-    links = written(near_links(fps.select("fp").distinct(), radius), "near")
-    degree = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("near"))
+    distinct = written(fps.select("fp").distinct(), "fp")
+    # pairs are counted where they are found: none is written or shuffled
+    degree = near_links(distinct, radius).select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("near"))
     hex_ = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     out = fps.join(after, ["next_bucket", "next_rn"]).join(degree, "fp", "left")
     return out.select("doc_id", "n_chars", "edited_sha256", hex_("fp").alias("fingerprint"), hex_("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.coalesce("near", F.lit(0)).cast("long").alias("near_fingerprints"))
