@@ -9,12 +9,7 @@ import numpy as np
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
-
-
-def tanh(x: np.ndarray) -> np.ndarray:
-    return 2 * sigmoid(2 * x) - 1
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def init_layer(rng: np.random.Generator, name: str, width: int, hidden: int, attention: int) -> dict[str, np.ndarray]:
@@ -29,46 +24,51 @@ def init_layer(rng: np.random.Generator, name: str, width: int, hidden: int, att
 
 
 def scan(pre: np.ndarray, mask: np.ndarray, U: np.ndarray, backward: bool, keep: list | None = None) -> np.ndarray:
-    """States of one direction from the projected inputs ``pre`` (steps, rows, 3 hidden)."""
+    """States of one direction from the projected inputs ``pre`` (steps, rows, 3
+    hidden). Rows behind the last that a step's mask holds are left out of it, so
+    rows by falling length cost no more than their steps; their states are 0."""
     T, N, H3 = pre.shape
     H = H3 // 3
     h = np.zeros((N, H), pre.dtype)
-    out = np.empty((T, N, H), pre.dtype)
+    out = np.zeros((T, N, H), pre.dtype)
+    rows = N - np.argmax(mask[:, ::-1] > 0, axis=1) if N else np.zeros(T, int)
     for t in range(T - 1, -1, -1) if backward else range(T):
-        u = h @ U
-        gates = sigmoid(pre[t, :, : 2 * H] + u[:, : 2 * H])
+        k = rows[t]
+        was = h[:k]
+        u = was @ U
+        gates = sigmoid(pre[t, :k, : 2 * H] + u[:, : 2 * H])
         z, r = gates[:, :H], gates[:, H:]
         un = u[:, 2 * H :]
-        n = tanh(pre[t, :, 2 * H :] + r * un)
-        m = mask[t][:, None]
-        new = h + m * (1 - z) * (n - h)
+        n = np.tanh(pre[t, :k, 2 * H :] + r * un)
+        m = mask[t, :k, None]
+        new = was + m * (1 - z) * (n - was)
         if keep is not None:
-            keep.append((t, h, z, r, n, un, m))
-        h = out[t] = new
+            keep.append((t, k, was.copy(), z, r, n, un, m))
+        h[:k] = out[t, :k] = new
     return out
 
 
 def scan_gradient(d_out: np.ndarray, keep: list, U: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients by the projected inputs and by U, from those by the states."""
     T, N, H = d_out.shape
-    d_pre = np.empty((T, N, 3 * H), d_out.dtype)
+    d_pre = np.zeros((T, N, 3 * H), d_out.dtype)
     d_u = np.zeros_like(U)
     d_h = np.zeros((N, H), d_out.dtype)
-    for t, h, z, r, n, un, m in reversed(keep):
-        d = d_h + d_out[t]
+    for t, k, h, z, r, n, un, m in reversed(keep):
+        d = d_h[:k] + d_out[t, :k]
         d_n = d * m * (1 - z) * (1 - n * n)
         d_z = -d * m * (n - h) * z * (1 - z)
         d_r = d_n * un * r * (1 - r)
-        d_pre[t] = np.concatenate([d_z, d_r, d_n], axis=1)
+        d_pre[t, :k] = np.concatenate([d_z, d_r, d_n], axis=1)
         d_rec = np.concatenate([d_z, d_r, d_n * r], axis=1)
         d_u += h.T @ d_rec
-        d_h = d * (1 - m * (1 - z)) + d_rec @ U.T
+        d_h[:k] = d * (1 - m * (1 - z)) + d_rec @ U.T
     return d_pre, d_u
 
 
 def pool(states: np.ndarray, mask: np.ndarray, A: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Attention-weighted mean of the states; rows without steps give zeros."""
-    k = tanh(states @ A)
+    k = np.tanh(states @ A)
     s = k @ v
     e = np.exp(s - np.where(mask > 0, s, -np.inf).max(axis=0, initial=-60)) * mask
     w = e / np.maximum(e.sum(axis=0), 1e-9)
@@ -113,7 +113,7 @@ class Adam:
         self.t += 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = min(1.0, 5.0 / max(norm, 1e-9))
-        for k, x in g.items():
+        for k, x in g.items():  # parameters without a gradient stay
             x = x * scale
             self.m[k] = 0.9 * self.m[k] + 0.1 * x
             self.s[k] = 0.999 * self.s[k] + 0.001 * x * x

@@ -18,9 +18,9 @@ from .recurrent import Adam, forward, gradient, init_layer, pool, scan, sigmoid
 
 WORD = re.compile(r"\w+")
 LONGEST = 24  # characters of a word; longer words are several overlapping ones
-WINDOW, STRIDE = 32, 16  # words
-CHARS, EMBED, HIDDEN, ATTENTION = 512, 8, 8, 8
-BITS = 22  # of the evidence tables
+WINDOW, STRIDE, TOP = 32, 16, 3  # words, words, windows
+CHARS, GRAMS, EMBED, HIDDEN, ATTENTION = 512, 1 << 15, 12, 12, 12
+WORDS, WORD_EMBED = 8192, 8  # most words with a vector of their own
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 
@@ -51,82 +51,67 @@ def codes(words: list[str]) -> np.ndarray:
     return np.frombuffer(raw, "<u4").reshape(-1, LONGEST)
 
 
-def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of the prefix that ends at each character (the last one's
-    marked as the whole word) and of the four characters that end there."""
+def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Time-major rows of the two embedding tables for each character and for
+    the four characters that end there (0 before the word's first), and the mask."""
+    c = c[:, : max(1, int((c > 0).sum(axis=1).max(initial=1)))].T
+    g = np.zeros(c.shape, np.uint64)
     with np.errstate(over="ignore"):
-        x = c.astype(np.uint64) + np.uint64(1)
-        h = np.full(len(c), 17, np.uint64)
-        pre, gram = np.empty(c.shape, np.int64), np.empty(c.shape, np.int64)
-        shift = np.uint64(64 - BITS)
-        for i in range(c.shape[1]):
-            h = (h ^ x[:, i]) * _P
-            h ^= h >> np.uint64(29)
-            last = (c[:, i] > 0) & (c[:, i + 1] == 0) if i + 1 < c.shape[1] else c[:, i] > 0
-            pre[:, i] = np.where(last, (h ^ np.uint64(0x5BD1E995)) * _P, h * _P) >> shift
-            g = np.full(len(c), 91, np.uint64)
-            for j in range(i - 3, i + 1):
-                g = (g ^ (x[:, j] if j >= 0 else np.uint64(3))) * _P
-                g ^= g >> np.uint64(31)
-            gram[:, i] = (g * _P) >> shift
-    return pre, gram
-
-
-class Evidence:
-    """Log-odds of prefixes and character 4-grams between the toxic and the other
-    documents that it is given."""
-
-    def __init__(self, docs: Iterable[tuple[str, int]], support: int = 3, sure: float = 4.0):
-        """docs: (the distinct words, joined by blanks; label). What differs from
-        its expected share by less than ``sure`` standard deviations is no evidence."""
-        n = np.zeros(2)
-        seen = np.zeros((2, 2, 1 << BITS), np.uint16)  # the sample's bound is far below its range
-        for words, y in docs:
-            n[y] += 1
-            c = codes(words.split())
-            for k, at in enumerate(places(c)):
-                seen[k, y, np.unique(at[c > 0])] += 1
-        self.tables = []
-        for k in range(2):
-            table = np.zeros(1 << BITS, np.int8)
-            use = np.flatnonzero(seen[k, 0].astype(np.int32) + seen[k, 1] >= support)
-            c0, c1 = seen[k, 0, use].astype(float), seen[k, 1, use].astype(float)
-            odds = np.log((c1 + 0.5) / (n[1] + 1)) - np.log((c0 + 0.5) / (n[0] + 1))
-            p = n[1] / n.sum()
-            spread = np.sqrt((c0 + c1) * p * (1 - p))
-            table[use] = np.where(np.abs(c1 - (c0 + c1) * p) > sure * spread, np.clip(odds * 16, -127, 127), 0).astype(np.int8)
-            self.tables.append(table)
-
-    def of(self, c: np.ndarray) -> np.ndarray:
-        """(words, LONGEST, 2), 0 behind the end."""
-        return np.stack([t[at].astype(np.float32) / 64 for t, at in zip(self.tables, places(c))], axis=2) * (c > 0)[:, :, None]
-
-
-def _inputs(p: dict, c: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Time-major character ids, inputs and mask."""
-    steps = max(1, int((c > 0).sum(axis=1).max(initial=1)))
-    c, odds = c[:, :steps], odds[:, :steps]
-    ids = np.where(c < 256, c, 256 + c % 256).T
-    return ids, np.concatenate([p["embed"][ids], odds.transpose(1, 0, 2)], axis=2), (c > 0).T.astype(np.float32)
-
-
-def word_vectors(p: dict, evidence: Evidence, c: np.ndarray, rows: int = 4096) -> np.ndarray:
-    out = np.empty((len(c), 2 * HIDDEN), np.float32)
-    order = np.argsort((c > 0).sum(axis=1), kind="stable")
-    for lo in range(0, len(c), rows):
+        for back in range(4):
+            x = np.zeros(c.shape, np.uint64)
+            x[back:] = c[: len(c) - back]
+            g = (g ^ x) * _P
+            g ^= g >> np.uint64(31)
+        grams = (g * _P >> np.uint64(49)).astype(np.int64)
+    return np.where(c < 256, c, 256 + c % 256).astype(np.int64), grams, (c > 0).astype(np.float32)
+
+
+def encoded(p: dict, words: list[str], own: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Vectors of words, by falling length for speed: the character layer's
+    output beside the word's own embedding, and what the gradient needs."""
+    ids, grams, mask = places(codes(words))
+    out, cache = forward(p, "char", p["embed"][ids] + p["gram"][grams], mask)
+    return np.concatenate([out, p["own"][own]], axis=1), (ids, grams, mask, own, cache)
+
+
+def encoded_gradient(p: dict, d: np.ndarray, kept: tuple, g: dict) -> None:
+    ids, grams, mask, own, cache = kept
+    d_x = (gradient(p, "char", np.ascontiguousarray(d[:, : 2 * HIDDEN]), cache, g) * mask[:, :, None]).reshape(-1, EMBED)
+    summed = lambda at, rows, d: np.stack([np.bincount(at, x, rows) for x in d.T], axis=1).astype(np.float32)
+    g["embed"], g["gram"] = summed(ids.ravel(), CHARS, d_x), summed(grams.ravel(), GRAMS, d_x)
+    g["own"] = summed(own, len(p["own"]), d[:, 2 * HIDDEN :])
+    g["own"][0] = 0  # words without a vector of their own
+
+
+def projections(p: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What each character and each group of them add to the layer's input, by direction."""
+    return [(p["embed"] @ p[f"char.W{d}"] + p[f"char.B{d}"], p["gram"] @ p[f"char.W{d}"]) for d in "fb"]
+
+
+def word_vectors(p: dict, words: list[str], own: np.ndarray, tables: list, rows: int = 4096) -> np.ndarray:
+    """As ``encoded`` has them; tables: the ``projections``."""
+    out = np.empty((len(words), 2 * HIDDEN + WORD_EMBED), np.float32)
+    order = np.argsort([-len(w) for w in words], kind="stable")
+    for lo in range(0, len(words), rows):
         at = order[lo : lo + rows]
-        _, x, mask = _inputs(p, c[at], evidence.of(c[at]))
-        states = np.concatenate([scan(x @ p[f"char.W{d}"] + p[f"char.B{d}"], mask, p[f"char.U{d}"], d == "b") for d in "fb"], axis=2)
-        out[at] = pool(states, mask, p["char.A"], p["char.v"])[0]
+        ids, grams, mask = places(codes([words[i] for i in at]))
+        states = np.concatenate([scan(one[ids] + four[grams], mask, p[f"char.U{d}"], d == "b") for d, (one, four) in zip("fb", tables)], axis=2)
+        out[at, : 2 * HIDDEN] = pool(states, mask, p["char.A"], p["char.v"])[0]
+    out[:, 2 * HIDDEN :] = p["own"][own]
     return out
 
 
+def windows_of(n: int) -> range:
+    """Where the windows of n words begin."""
+    return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
+
+
 class Scorer:
-    """Largest window logit of texts. Word projections are kept for words that
+    """Scores texts by their highest windows. Word projections are kept for words that
     come again, up to ``memory`` of them."""
 
-    def __init__(self, p: dict, evidence: Evidence, memory: int = 150_000):
-        self.p, self.evidence, self.memory = p, evidence, memory
+    def __init__(self, p: dict, own: dict[str, int], memory: int = 150_000):
+        self.p, self.own, self.memory, self.tables = p, own, memory, projections(p)
         self._reset()
 
     def _reset(self) -> None:
@@ -148,7 +133,7 @@ class Scorer:
 
     def _learn(self) -> None:
         if self.new:
-            v = word_vectors(self.p, self.evidence, codes(self.new))
+            v = word_vectors(self.p, self.new, np.array([self.own.get(w, 0) for w in self.new]), self.tables)
             more = [v @ self.p[f"word.W{d}"] + self.p[f"word.B{d}"] for d in "fb"]
             if self.n + len(v) > len(self.proj[0]):
                 self.proj = [np.concatenate([a[: self.n], np.empty((max(len(v), self.n // 2), a.shape[1]), np.float32)]) for a in self.proj]
@@ -157,8 +142,8 @@ class Scorer:
             self.n += len(v)
             self.new = []
 
-    def _windows(self, ids: np.ndarray, lengths: np.ndarray, rows: int = 1024) -> np.ndarray:
-        """The largest logit of each sequence of ids; -inf for empty ones."""
+    def _windows(self, ids: np.ndarray, lengths: np.ndarray, rows: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of all windows of the sequences of ids, and how many each has."""
         count = np.where(lengths > 0, np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1), 0)
         base = np.cumsum(lengths) - lengths
         first = np.cumsum(count) - count
@@ -174,21 +159,36 @@ class Scorer:
             at = ids[np.minimum(s + steps, len(ids) - 1)]
             states = np.concatenate([scan(a[at], mask, p[f"word.U{d}"], d == "b") for a, d in zip(self.proj, "fb")], axis=2)
             logits[lo : lo + rows] = pool(states, mask, p["word.A"], p["word.v"])[0] @ p["out.w"] + p["out.b"]
-        best = np.full(len(lengths), -np.inf, np.float32)
-        np.maximum.at(best, np.repeat(np.arange(len(lengths)), count), logits)
-        return best
+        return logits, count
+
+    def windows(self, words: list[str]) -> np.ndarray:
+        """The logit of each window of a list of words."""
+        ids = self._ids(words)
+        self._learn()
+        starts = np.array(windows_of(len(ids)))
+        parts = [ids[k : k + WINDOW] for k in starts]
+        return self._windows(np.concatenate(parts), np.array([len(x) for x in parts]))[0]
 
     def logits(self, texts: list[str], words: int = 200_000) -> np.ndarray:
-        """Very long texts go in parts; neighbouring parts share no window but
-        a window's worth of words."""
-        best = np.full(len(texts), -np.inf, np.float32)
+        """The mean of the TOP highest window logits of each text (-inf: no
+        words). Very long texts go in parts; neighbouring parts share no window
+        but a window's worth of words."""
+        tops = np.full((len(texts), TOP), -np.inf, np.float32)
         ids: list[np.ndarray] = []
         of: list[int] = []
 
         def flush() -> None:
             if ids:
                 self._learn()
-                np.maximum.at(best, of, self._windows(np.concatenate(ids), np.array([len(x) for x in ids])))
+                logits, count = self._windows(np.concatenate(ids), np.array([len(x) for x in ids]))
+                text = np.repeat(np.array(of), count)
+                order = np.lexsort((-logits, text))
+                text, logits = text[order], logits[order]
+                at = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, int)
+                rank = np.arange(len(text)) - np.repeat(at, np.diff(np.r_[at, len(text)]))
+                new = np.full_like(tops, -np.inf)
+                new[text[rank < TOP], rank[rank < TOP]] = logits[rank < TOP]
+                tops[:] = -np.sort(-np.concatenate([tops, new], axis=1), axis=1)[:, :TOP]
             ids.clear()
             of.clear()
             if len(self.known) > self.memory:
@@ -207,111 +207,143 @@ class Scorer:
                     flush()
                     held = 0
         flush()
-        return best
+        found = np.isfinite(tops)
+        return np.where(found.any(axis=1), np.where(found, tops, 0).sum(axis=1) / np.maximum(found.sum(axis=1), 1), -np.inf)
 
 
-def train(docs: list[tuple[str, int]], seed: int = 7, epochs: int = 4, least_steps: int = 300, batch: int = 128, rate: float = 0.01) -> dict | None:
+def train(docs: list[tuple[str, int]], seed: int = 7, word_steps: int = 450, rounds: int = 3, steps: int = 90, batch: int = 96, rate: float = 0.01) -> dict | None:
     """A model from (text, label) rows, or None unless both labels occur.
 
-    The evidence is cross-fitted: each half of the rows sees that of the other,
-    so that the network learns what evidence is worth on unseen documents. For
-    each document it learns from the windows that hold most evidence, and for
-    those with label 0 one more at random. The scale of the largest logit is
-    fitted on the same cross-fitted scores.
+    Only the label of a whole document is known, not which of its words earn it.
+    First the character layer learns from single words, each with the share of
+    toxic documents among those that hold it. Then the whole network learns from
+    windows: of each document those that it scores highest itself, chosen anew
+    every round, and for label 0 a random one more. The scale of the texts'
+    logits is fitted on every sixth document, which no step has seen.
     """
     if len({y for _, y in docs}) < 2:
         return None
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs))
-    docs = sorted((docs[i] for i in order), key=lambda d: d[1])  # stratified halves
-    labels = [y for _, y in docs]
-    fold = np.arange(len(docs)) % 2
-    # joined: lists of words would take many times the memory
-    distinct = [" ".join(sorted(set(words_of(t)))) for t, _ in docs]
-    crossed = [Evidence((distinct[i], labels[i]) for i in range(len(docs)) if fold[i] != f) for f in (0, 1)]
-
-    picked: list[tuple[int, list[str], int]] = []
-    for i, (t, y) in enumerate(docs):
-        w = words_of(t)
-        if not w:
-            continue
-        vocabulary = distinct[i].split()
-        held = dict(zip(vocabulary, crossed[fold[i]].of(codes(vocabulary)).max(axis=1).sum(axis=1)))
-        starts = list(range(0, max(1, len(w) - WINDOW + STRIDE), STRIDE))
-        worth = sorted(starts, key=lambda s: -max(held[x] for x in w[s : s + WINDOW]))
-        use = worth[:1] if y else worth[:2] + [int(rng.choice(starts))]
-        picked += [(fold[i], w[s : s + WINDOW], y) for s in dict.fromkeys(use)]
-
-    p = {"embed": rng.normal(0, 0.3, (CHARS, EMBED)).astype(np.float32), "out.w": rng.normal(0, 0.3, 2 * HIDDEN).astype(np.float32), "out.b": np.zeros(1, np.float32)}
-    p |= init_layer(rng, "char", EMBED + 2, HIDDEN, ATTENTION) | init_layer(rng, "word", 2 * HIDDEN, HIDDEN, ATTENTION)
+    docs = sorted((docs[i] for i in order), key=lambda d: d[1])
+    apart = [d for k, d in enumerate(docs) if k % 6 == 2] if len(docs) >= 50 else docs
+    known = [d for k, d in enumerate(docs) if k % 6 != 2] if len(docs) >= 50 else docs
+    if len({y for _, y in apart}) < 2 or len({y for _, y in known}) < 2:
+        apart = known = docs
+
+    vocabulary: dict[str, int] = {}
+    texts = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t, _ in known]
+    labels = np.array([y for _, y in known])
+    if not vocabulary:
+        return None
+    words = list(vocabulary)
+    held = np.zeros((2, len(words)))
+    for ids, y in zip(texts, labels):
+        held[y, np.unique(ids)] += 1
+    total = held.sum(axis=0)
+    frequent = [int(i) for i in np.argsort(-total, kind="stable")[: WORDS - 1] if total[i] >= 8]
+    own = {words[i]: k + 1 for k, i in enumerate(frequent)}
+    owns = np.array([own.get(w, 0) for w in words])
+    p = initial(rng, len(own) + 1)
+    p |= {"one.w": rng.normal(0, 0.3, 2 * HIDDEN + WORD_EMBED).astype(np.float32), "one.b": np.zeros(1, np.float32)}
+
+    of = np.bincount(labels, minlength=2)
+    shares = held / of[:, None]
+    often = shares.sum(axis=0)
+    target = (shares[1] / often).astype(np.float32)
+    draw = np.cumsum(often / often.sum())
+    adam = Adam(p, rate)
+    for k in range(word_steps):
+        at = np.unique(np.minimum(np.searchsorted(draw, rng.random(1536)), len(words) - 1))
+        adam.rate = rate * (1 - 0.8 * k / word_steps)
+        at = at[np.argsort([-len(words[i]) for i in at], kind="stable")]
+        adam.step(word_gradient(p, [words[i] for i in at], owns[at], target[at])[1])
+
+    ones = word_vectors(p, words, owns, projections(p)) @ p["one.w"] + p["one.b"]
+    scores = [np.array([ones[ids[s : s + WINDOW]].max() for s in windows_of(len(ids))]) if len(ids) else None for ids in texts]
+    p.pop("one.w"), p.pop("one.b")
     adam = Adam(p, rate)
-    ones = sum(y for *_, y in picked)
-    weight = {0: 0.5 / max(1, len(picked) - ones), 1: 0.5 / max(1, ones)}
-    steps = -(-len(picked) // batch)
-    total = max(epochs, -(-least_steps // steps)) * steps
-    done = 0
-    while done < total:
-        for lo in range(0, len(picked), batch):
-            if lo == 0:
-                shuffled = rng.permutation(len(picked))
-            part = [picked[k] for k in shuffled[lo : lo + batch]]
+    total, done, mean = rounds * steps, 0, {}
+    for r in range(rounds):
+        if r:
+            scorer = Scorer(p, own, memory=1 << 30)
+            scorer._ids(words)
+            scores = [scorer.windows([words[i] for i in ids]) if len(ids) else None for ids in texts]
+        picked: list[tuple[list[str], int]] = []
+        for ids, y, score in zip(texts, labels, scores):
+            if score is None:
+                continue
+            starts = np.array(windows_of(len(ids)))
+            use = starts[np.argsort(-score, kind="stable")[: 1 if y else 2]].tolist() + ([] if y else [int(rng.choice(starts))])
+            picked += [([words[i] for i in ids[s : s + WINDOW]], int(y)) for s in dict.fromkeys(use)]
+        sides = [np.array([k for k, (_, y) in enumerate(picked) if y == side]) for side in (0, 1)]
+        for _ in range(steps):
             adam.rate = rate * (1 - 0.9 * done / total)
-            adam.step(loss_gradient(p, crossed, part, weight)[1])
+            part = [picked[k] for side in sides if len(side) for k in rng.choice(side, batch // 2)]
+            adam.step(loss_gradient(p, own, part)[1])
             done += 1
-    logits = np.empty(len(docs))
-    for f in (0, 1):
-        at = np.flatnonzero(fold == f)
-        logits[at] = Scorer(p, crossed[f], memory=30_000).logits([docs[i][0] for i in at], words=50_000)
-    a, b = _scale(np.maximum(logits, -30), np.array(labels))
-    return {"p": p, "evidence": Evidence(zip(distinct, labels)), "a": a, "b": b}
+            if 4 * done > 3 * total:  # the mean of the last weights generalizes better
+                mean = {k: mean.get(k, 0) + v / (total - 3 * total // 4) for k, v in p.items()}
+    p = {k: v.astype(np.float32) for k, v in mean.items()}
+    logits = Scorer(p, own, memory=30_000).logits([t for t, _ in apart], words=50_000).astype(np.float64)
+    a, b = _scale(np.maximum(logits, -30), np.array([y for _, y in apart]))
+    return {"p": p, "own": own, "a": a, "b": b}
+
+
+def initial(rng: np.random.Generator, owns: int) -> dict[str, np.ndarray]:
+    """The network's weights before training; owns: words with their own vector, and one."""
+    p = {"embed": rng.normal(0, 0.3, (CHARS, EMBED)), "gram": rng.normal(0, 0.05, (GRAMS, EMBED)), "own": rng.normal(0, 0.05, (owns, WORD_EMBED)), "out.w": rng.normal(0, 0.3, 2 * HIDDEN), "out.b": np.zeros(1)}
+    p["own"][0] = 0
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    return p | init_layer(rng, "char", EMBED, HIDDEN, ATTENTION) | init_layer(rng, "word", 2 * HIDDEN + WORD_EMBED, HIDDEN, ATTENTION)
+
+
+def word_gradient(p: dict, words: list[str], own: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
+    """Cross-entropy of single words with their shares and its gradients."""
+    vectors, kept = encoded(p, words, own)
+    q = sigmoid(vectors @ p["one.w"] + p["one.b"])
+    loss = -float((target * np.log(q + 1e-9) + (1 - target) * np.log(1 - q + 1e-9)).mean())
+    d = ((q - target) / len(words)).astype(p["one.w"].dtype)
+    g = {"one.w": vectors.T @ d, "one.b": d.sum(keepdims=True)}
+    encoded_gradient(p, d[:, None] * p["one.w"], kept, g)
+    return loss, g
 
 
-def loss_gradient(p: dict, crossed: list[Evidence], part: list[tuple[int, list[str], int]], weight: dict) -> tuple[float, dict]:
-    """Weighted cross-entropy of windows (fold, words, label) and its gradients."""
-    keys = sorted({(f, w) for f, window, _ in part for w in window})
+def loss_gradient(p: dict, own: dict[str, int], part: list[tuple[list[str], int]]) -> tuple[float, dict]:
+    """Cross-entropy of windows (words, label) and its gradients."""
+    keys = sorted({w for window, _ in part for w in window}, key=lambda w: (-len(w), w))
     place = {k: i for i, k in enumerate(keys)}
-    c = codes([w for _, w in keys])
-    odds = np.empty((len(keys), LONGEST, 2), np.float32)
-    for f in (0, 1):
-        at = [i for i, k in enumerate(keys) if k[0] == f]
-        if at:
-            odds[at] = crossed[f].of(c[at])
-    ids, x, char_mask = _inputs(p, c, odds)
-    vectors, char_cache = forward(p, "char", x, char_mask)
-    n = max(len(window) for _, window, _ in part)
+    vectors, kept = encoded(p, keys, np.array([own.get(w, 0) for w in keys]))
+    n = max(len(window) for window, _ in part)
     at = np.zeros((n, len(part)), np.int64)
     mask = np.zeros((n, len(part)), np.float32)
-    for j, (f, window, _) in enumerate(part):
-        at[: len(window), j] = [place[f, w] for w in window]
+    for j, (window, _) in enumerate(part):
+        at[: len(window), j] = [place[w] for w in window]
         mask[: len(window), j] = 1
     pooled, word_cache = forward(p, "word", vectors[at], mask)
-    y = np.array([label for *_, label in part], np.float32)
-    w = np.array([weight[label] for *_, label in part], np.float32)
-    w = w / w.sum()
+    y = np.array([label for _, label in part], np.float32)
     q = sigmoid(pooled @ p["out.w"] + p["out.b"])
-    loss = -float((w * (y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9))).sum())
-    d = (w * (q - y)).astype(p["out.w"].dtype)
+    loss = -float((y * np.log(q + 1e-9) + (1 - y) * np.log(1 - q + 1e-9)).mean())
+    d = ((q - y) / len(part)).astype(p["out.w"].dtype)
     g = {"out.w": pooled.T @ d, "out.b": d.sum(keepdims=True)}
     d_words = gradient(p, "word", d[:, None] * p["out.w"], word_cache, g)
     d_vectors = np.zeros_like(vectors)
     np.add.at(d_vectors, at.ravel(), (d_words * mask[:, :, None]).reshape(-1, d_words.shape[-1]))
-    d_x = gradient(p, "char", d_vectors, char_cache, g)
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], ids.ravel(), (d_x[:, :, :EMBED] * char_mask[:, :, None]).reshape(-1, EMBED))
+    encoded_gradient(p, d_vectors, kept, g)
     return loss, g
 
 
-def _scale(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """a, b of sigmoid(a x + b) by damped Newton steps, with a weak prior."""
-    a, b = 1.0, 0.0
-    for _ in range(rounds):
-        q = sigmoid(a * x + b)
-        r = np.clip(q * (1 - q), 1e-6, None)
-        g = np.array([((q - y) * x).sum() + 0.1 * (a - 1), (q - y).sum()])
-        h = np.array([[(r * x * x).sum() + 0.1, (r * x).sum()], [(r * x).sum(), r.sum() + 1e-3]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = max(0.05, a - step[0]), b - step[1]
-    return a, b
+def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """a, b of sigmoid(a x + b): the logit with the best F-score (precision counts
+    twice as much as recall) scores the threshold 0.7; the slope comes from the spread of the logits below it."""
+    order = np.argsort(-x, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 1.5 * hits / (np.arange(1, len(x) + 1) + 0.5 * y.sum())
+    f1[:-1][x[order][:-1] == x[order][1:]] = 0  # equal logits stand together
+    k = int(np.argmax(f1))
+    cut = (x[order[k]] + x[order[min(k + 1, len(x) - 1)]]) / 2
+    a = 1.5 / max(float(np.std(x[x > -30])) if (x > -30).any() else 1.0, 0.1)
+    return a, float(np.log(0.7 / 0.3) - a * cut)
 
 
 def held_out():
@@ -340,7 +372,7 @@ def scored(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataF
     """doc_id, held_out, score, predicted for every row of docs.
 
     docs: doc_id, text (null: empty); other columns are ignored. The score is
-    the scaled largest logit of all windows; texts without words score 0, as do
+    the scaled mean of the highest TOP logits of all windows; texts without words score 0, as do
     all where no model could be fitted (no labels, or one kind only). Repeated
     rows stay; an empty table gives an empty result.
     """
@@ -349,7 +381,7 @@ def scored(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scorer = m and Scorer(m["p"], m["evidence"])
+        scorer = m and Scorer(m["p"], m["own"])
         for batch in batches:
             if m is None:
                 score = np.zeros(batch.num_rows)
@@ -370,7 +402,7 @@ def without_toxic(docs: DataFrame, model: dict | None, threshold: float = 0.7) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scorer = m and Scorer(m["p"], m["evidence"])
+        scorer = m and Scorer(m["p"], m["own"])
         for batch in batches:
             if m is not None:
                 logits = scorer.logits([t or "" for t in batch.column(at).to_pylist()]).astype(np.float64)
