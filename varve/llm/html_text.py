@@ -35,6 +35,35 @@ CARDS = frozenset("comment comments disqus reply replies respond related recomme
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+class Open:
+    """The open elements; every question takes the same time however deep they are."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.blocks: list[str] = []
+        self.count: Counter = Counter()
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+        if name in BLOCKS:
+            self.blocks.append(name)
+
+    def close(self, name: str) -> None:
+        """Closes the last element of that name, if one is open, and all in it."""
+        while self.count[name]:
+            last = self.names.pop()
+            self.count[last] -= 1
+            if last in BLOCKS:
+                self.blocks.pop()
+            if last == name:
+                break
+
+    def key(self) -> str:
+        """What the weight of a text here is learned for."""
+        return f"{self.blocks[-1] if self.blocks else 'body'}{'>a' if 'a' in self.names[-3:] else ''}"
+
+
 @dataclass
 class Item:
     """A run of text or a tag. ``key`` is what its weight is learned for."""
@@ -95,7 +124,7 @@ def items(page: str) -> list[Item]:
         if name in RAW and not (m[1] or m[4]):
             end = re.compile(rf"</{name}\s*(?=[>\s/])", re.I).search(page, at)
             at = end.start() if end else len(page)
-    skip_until, open_, inside = -1, [], 0
+    skip_until, open_, inside = -1, Open(), 0
     ends = _closers(tags)
     landmarks = [k for k, t in enumerate(tags) if t[3] in CONTENT and not t[2]]
     mains = [0, *accumulate(tags[x][3] == "main" for x in landmarks)]
@@ -124,8 +153,7 @@ def items(page: str) -> list[Item]:
         if k > skip_until and start > at:
             text = html.unescape(page[at:start])
             if n := len(text.split()):
-                block = next((x for x in reversed(open_) if x in BLOCKS), "body")
-                out.append(Item(f"{block}{'>a' if 'a' in open_[-3:] else ''}", n, text, False, inside > 0 and k > low_until, k <= low_until))
+                out.append(Item(open_.key(), n, text, False, inside > 0 and k > low_until, k <= low_until))
             elif text:
                 out.append(Item("space", 0, text, False, inside > 0))
         at = end
@@ -151,14 +179,11 @@ def items(page: str) -> list[Item]:
             inside = max(0, inside - 1)
         out.append(Item("/" * closing + name, 0, " " if name == "br" else "", name in BLOCKS, inside > 0))
         if closing:
-            if name in open_:
-                while open_.pop() != name:
-                    pass
+            open_.close(name)
         elif name not in VOID:
-            if name in BLOCKS and "p" in open_:  # a block ends an open paragraph
-                while open_.pop() != "p":
-                    pass
-            open_.append(name)
+            if name in BLOCKS:  # a block ends an open paragraph
+                open_.close("p")
+            open_.push(name)
             inside += name in CONTENT
     return out
 
@@ -225,16 +250,23 @@ class Weights:
         return -0.02 - (1 - self.share(i.key, 0.95 if name in INLINE or name in ("p", "li", "td", "tr") else 0.5))
 
 
-def extract(page: str, weights: Weights) -> str:
-    """Blocks of the best contiguous region, joined by two line ends."""
-    found = items(page)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous run with the largest sum, in one pass; (0, 0)
+    where none is positive."""
     best, span, total, begin = 0.0, (0, 0), 0.0, 0
-    for k, i in enumerate(found):
+    for k, x in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, k
-        total += weights.score(i)
+        total += x
         if total > best:
             best, span = total, (begin, k + 1)
+    return span
+
+
+def extract(page: str, weights: Weights) -> str:
+    """Blocks of the best contiguous region, joined by two line ends."""
+    found = items(page)
+    span = best_run([weights.score(i) for i in found])
     blocks, now = [], []
     for i in found[slice(*span)]:
         if i.breaks:
