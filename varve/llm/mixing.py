@@ -85,11 +85,17 @@ def order_key(seed: int, epoch: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def plan(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int, seed: int) -> DataFrame:
+def counted(docs: DataFrame) -> DataFrame:
+    """Written: doc_id, the levels and the tokens n of every row; texts are read
+    and counted once, all that follows reads this table."""
+    return written(leaves(docs).select("doc_id", *LEVELS, words(F.col("text")).alias("n")), "counted")
+
+
+def plan(rows: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int, seed: int) -> DataFrame:
     """For each leaf its budget, whole epochs and the last order key of its prefix
     of the next epoch (empty: none). Prefix sums run over 4096 ranges of the key
-    first and only inside the range where the budget ends by document."""
-    rows = leaves(docs).select("doc_id", *LEVELS, words(F.col("text")).alias("n"))
+    first and only inside the range where the budget ends by document. rows: as
+    ``counted`` gives them."""
     stats = rows.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     known = written(budgets(stats, weights, share, max_epochs).where("tokens > 0 and budget > 0")
                     .withColumns({"epochs": F.expr("budget div tokens"), "rest": F.expr("budget % tokens")}), "budgets")
@@ -112,15 +118,16 @@ def mixture(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_
 
     docs: doc_id, lang, source, text (null: empty) and maybe domain; null names
     are the empty name; other columns are ignored. ``share`` of all tokens is
-    divided over domains, their languages and theirs sources by weight (1 where
+    divided over domains, their languages and their sources by weight (1 where
     none is given). Of each leaf the whole epochs that its budget holds are
     taken and then the longest prefix of the next one's seeded order that fits;
     copies counts both. Rows of one doc_id stand together in that order.
     Documents that are not taken, and all of a leaf without tokens, are left
     out. An empty table gives an empty result.
     """
-    known = plan(docs, weights, share, max_epochs, seed)
-    rows = leaves(docs).select("doc_id", *LEVELS, words(F.col("text")).alias("tokens")).join(known, list(LEVELS))
+    rows = counted(docs)
+    known = plan(rows, weights, share, max_epochs, seed)
+    rows = rows.withColumnRenamed("n", "tokens").join(known, list(LEVELS))
     copies = F.col("epochs") + (order_key(seed, "epochs") <= F.col("last")).cast("long")
     return rows.select("doc_id", *LEVELS, "tokens", copies.alias("copies")).where("copies > 0")
 
@@ -128,7 +135,7 @@ def mixture(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_
 def mixed(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = DEFAULT_WEIGHTS, share: float = 0.95, seed: int = 42, max_epochs: int = 1) -> DataFrame:
     """The rows of docs that ``mixture`` takes, each as often as its copies say.
     With one epoch the weights act only as far as small leaves have the tokens."""
-    known = plan(docs, weights, share, max_epochs, seed)
+    known = plan(counted(docs), weights, share, max_epochs, seed)
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     domain = level("domain") if "domain" in docs.columns else domain_of(level("source"))
     mark = max((c for c in docs.columns), key=len, default="") + "_"  # names that no column of docs has

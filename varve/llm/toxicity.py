@@ -4,6 +4,8 @@ window, trained in numpy and applied to all overlapping windows."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterable, Iterator
 
@@ -365,7 +367,18 @@ def fitted(docs: DataFrame, labels: DataFrame, most_toxic: int = 1200, most_othe
     # rows repeated under an id must not exceed the bound
     rows = rows.orderBy(*order, "text").limit(most_toxic + most_other).collect()
     out = [(r["text"], r["toxic"]) for r in rows]
-    return train(out)
+    model = train(out)
+    returned_memory()
+    return model
+
+
+def returned_memory() -> None:
+    """What the training used goes back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def scored(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFrame:
