@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from .plans.ast import Branch, Call, Each, Flow, Program, Ref, Tap, TypeSpec
-from .plans.interpreter import Interpreter, as_text
+from .plans.interpreter import Interpreter, as_text, coerced
 from .plans.lower import Lane, Lowering, NotLowered
 from .plans.parser import parse
 from .plans.validate import emit_name, validate
@@ -22,6 +22,7 @@ from .types import DTYPES, NAMES, CompileError, EngineError, TypeMismatch, Value
 
 # Spark's type of an element by dtype; unsigned ones take the next wider.
 ELEMENT = {"u8": T.ShortType(), "i8": T.ByteType(), "i16": T.ShortType(), "i32": T.IntegerType(), "i64": T.LongType(), "u32": T.LongType(), "u64": T.DecimalType(20, 0), "f32": T.FloatType(), "f64": T.DoubleType()}
+_OWN_SQL = {np.dtype("f4"): "float", np.dtype("f8"): "double"}
 _OWN = {T.ByteType(): "i8", T.ShortType(): "i16", T.IntegerType(): "i32", T.LongType(): "i64", T.FloatType(): "f32", T.DoubleType(): "f64"}
 SHAPE = T.ArrayType(T.LongType(), False)
 
@@ -308,22 +309,33 @@ class Pipeline:
         """
         keep = df.columns if keep is None else keep
         columns, constants = self._bindings(df, bindings)
-        if engine != "kernels" and on_error == "raise" and not constants:
+        if engine != "kernels" and on_error == "raise":
             try:
-                return df.select(*keep, *self.expressions(df, columns))
+                stages, emits = self.lowered(df, columns, constants)
             except NotLowered as e:
                 if engine == "columns":
                     raise CompileError(f"no column expression for {e}") from e
+            else:
+                for name, expr in stages:
+                    df = df.withColumn(name, expr)
+                return df.select(*keep, *emits)
         elif engine == "columns":
-            raise CompileError("constants and caught errors need the kernels")
+            raise CompileError("caught errors need the kernels")
         return self._arrow(df, keep, columns, constants, on_error)
 
-    def expressions(self, df: DataFrame, columns: dict[str, Column]) -> list[Column]:
-        """The emits as column expressions."""
-        inputs = {}
+    def lowered(self, df: DataFrame, columns: dict[str, Column], constants: dict[str, Value]) -> tuple[list[tuple[str, Column]], list[Column]]:
+        """Columns to add one after the other, and the emits, as expressions."""
+        inputs, texts = {}, {}
         for p in self.params:
             if p.name not in columns:
-                raise NotLowered(p.name)
+                v = constants.get(p.name) or self.interpreter.default(p)
+                v = v and coerced(p.type, v)
+                if v is None or v.kind not in ("arg", "scalar"):
+                    raise NotLowered(p.name)
+                texts[p.name] = as_text(v)
+                if v.kind == "scalar" and v.dtype in _OWN_SQL:
+                    inputs[p.name] = Lane(F.lit(float(v.data)).cast(_OWN_SQL[v.dtype]), NAMES[v.dtype], None)
+                continue
             dt = df.select(columns[p.name].alias("x")).schema["x"].dataType
             c, dims = columns[p.name], p.type.dims
             if p.type.kind == "scalar" and dt in (T.FloatType(), T.DoubleType()):
@@ -337,12 +349,13 @@ class Pipeline:
             else:
                 raise NotLowered(p.name)
         out = []
-        for name, lane in Lowering(self.program, inputs).emits().items():
+        lowering = Lowering(self.program, inputs, texts, tuple(df.columns))
+        for name, lane in lowering.emits().items():
             e = lane.expr
             if not lane.scalar:
                 e = F.when(e.isNotNull(), F.struct(F.array(*[F.lit(d).cast("long") for d in lane.shape]).alias("shape"), e.alias("data")))
             out.append(e.alias(name or "output"))
-        return out
+        return lowering.stages, out
 
     def _arrow(self, df: DataFrame, keep: list[str], columns: dict[str, Column], constants: dict[str, Value], on_error: str) -> DataFrame:
         specs = {p.name: p.type for p in self.params} or {"input": None}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 from dataclasses import replace
+from functools import lru_cache
 
 import numpy as np
 
@@ -201,11 +202,42 @@ def normalize(v: Value, args: Args) -> Value:
     return v if level < 1e-8 else v.with_data(x * F4.type(target / level))
 
 
-def recurrence(x: np.ndarray, f) -> np.ndarray:
-    """Sample after sample, all channels at once."""
-    out = np.empty_like(x)
-    for i in range(x.shape[1]):
-        out[:, i] = f(x[:, i])
+#: Samples of a block of the linear recurrence.
+BLOCK = 256
+
+
+@lru_cache(maxsize=64)
+def _blocks(b0: float, b1: float, b2: float, a1: float, a2: float, n: int) -> tuple[np.ndarray, ...]:
+    """Matrices of n steps of the filter: output by input, output by state, and
+    the next state by input and by state."""
+    step, kick = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(n):
+        powers.append(step @ powers[-1])
+    response = np.array([b0, *(powers[k][0] @ kick for k in range(n - 1))])
+    at = np.arange(n)
+    by_input = np.where(at[None, :] >= at[:, None], response[np.abs(at[None, :] - at[:, None])], 0.0)
+    by_state = np.array([powers[k][0] for k in range(n)]).T
+    to_state = np.array([powers[n - 1 - k] @ kick for k in range(n)])
+    return by_input, by_state, to_state, powers[n].T
+
+
+def linear(x: np.ndarray, b0: float, b1: float, b2: float, a1: float, a2: float) -> np.ndarray:
+    """The second-order recurrence over each row: blocks of samples at a time, a
+    matrix product each, with two numbers of state from block to block."""
+    out, state = np.empty_like(x), np.zeros((len(x), 2))
+    if not np.isfinite(x).all():  # a product would spread the others to samples before
+        s1 = s2 = state[:, 0]
+        for i in range(x.shape[1]):
+            y = b0 * x[:, i] + s1
+            s1, s2 = b1 * x[:, i] - a1 * y + s2, b2 * x[:, i] - a2 * y
+            out[:, i] = y
+        return out
+    for lo in range(0, x.shape[1], BLOCK):
+        part = x[:, lo : lo + BLOCK]
+        by_input, by_state, to_state, onward = _blocks(b0, b1, b2, a1, a2, part.shape[1])
+        out[:, lo : lo + BLOCK] = part @ by_input + state @ by_state
+        state = part @ to_state + state @ onward
     return out
 
 
@@ -232,16 +264,18 @@ def biquad_filter(v: Value, args: Args) -> Value:
     q = max(0.01, args.number("q", default=0.707))
     b0, b1, b2, a1, a2 = biquad_coefficients(kind, freq, q, args.number("gain_db", "gain", default=0.0), rate)
 
-    def run(x):
-        s1 = s2 = np.zeros(len(x))
-        out = np.empty_like(x)
-        for i in range(x.shape[1]):
-            y = b0 * x[:, i] + s1
-            s1, s2 = b1 * x[:, i] - a1 * y + s2, b2 * x[:, i] - a2 * y
-            out[:, i] = y
-        return out
+    return per_channel(v, lambda x: linear(x, b0, b1, b2, a1, a2))
 
-    return per_channel(v, run)
+
+def follow(targets: list[float], env: float, fast: float, slow: float, falling: bool) -> list[float]:
+    """A level that follows its targets: by ``fast`` where it rises (or falls, if
+    ``falling``) and by ``slow`` else. Plain numbers: each step needs the last."""
+    out = []
+    for x in targets:
+        a = fast if (x < env if falling else x > env) else slow
+        env = a * env + (1 - a) * x
+        out.append(env)
+    return out
 
 
 def smoothing(ms: float, floor: float, rate: float) -> float:
@@ -260,12 +294,10 @@ def compressor(v: Value, args: Args) -> Value:
         over = 20 * np.log10(np.maximum(np.abs(x), 1e-6)) - t
         knee = slope * (over + w / 2) ** 2 / (2 * w) if w > 0 else 0 * over
         g = np.where(2 * over < -w, 0.0, np.where(2 * np.abs(over) <= w, knee, slope * over))
-        env, out = np.full(len(x), -96.0), np.empty_like(x)
-        for i in range(x.shape[1]):
-            a = np.where(g[:, i] < env, fast, slow)
-            env = a * env + (1 - a) * g[:, i]
-            out[:, i] = x[:, i] * 10 ** (env / 20) * makeup
-        return out
+        envelope = np.empty_like(x)
+        for k, row in enumerate(g.tolist()):
+            envelope[k] = follow(row, -96.0, fast, slow, falling=True)
+        return x * 10 ** (envelope / 20) * makeup
 
     return per_channel(v, run)
 
@@ -279,12 +311,10 @@ def limiter(v: Value, args: Args) -> Value:
     slow = smoothing(args.number("release_ms", default=50.0), 1e-3, rate_of(v, args))
 
     def run(x):
-        env, out = np.zeros(len(x)), np.empty_like(x)
-        for i in range(x.shape[1]):
-            a = np.abs(x[:, i])
-            env = np.where(a > env, a, slow * env + (1 - slow) * a)
-            out[:, i] = np.clip(x[:, i] * np.where(env > ceiling, ceiling / np.maximum(env, 1e-30), 1.0), -ceiling, ceiling)
-        return out
+        envelope = np.empty_like(x)
+        for k, row in enumerate(np.abs(x).tolist()):
+            envelope[k] = follow(row, 0.0, 0.0, slow, falling=False)
+        return np.clip(x * np.where(envelope > ceiling, ceiling / np.maximum(envelope, 1e-30), 1.0), -ceiling, ceiling)
 
     return per_channel(v, run)
 
@@ -299,15 +329,15 @@ def noise_gate(v: Value, args: Args) -> Value:
     def run(x):
         level = np.where(np.abs(x) <= 1e-6, -120.0, 20 * np.log10(np.maximum(np.abs(x), 1e-6)))
         closed = np.clip(10 ** (-(t - level) * (r - 1) / 20), 0, 1)
-        env, left, out = np.zeros(len(x)), np.zeros(len(x), int), np.empty_like(x)
-        for i in range(x.shape[1]):
-            loud = level[:, i] >= t
-            target = np.where(loud | (left > 0), 1.0, closed[:, i])
-            left = np.where(loud, hold, np.maximum(left - 1, 0))
-            a = np.where(target > env, fast, slow)
-            env = a * env + (1 - a) * target
-            out[:, i] = x[:, i] * env
-        return out
+        at = np.arange(x.shape[1])
+        loud = level >= t
+        # the gate holds for that many samples after the last loud one
+        last = np.maximum.accumulate(np.where(loud, at, -hold - 1), axis=1)
+        target = np.where(loud | (at - last <= hold), 1.0, closed)
+        envelope = np.empty_like(x)
+        for k, row in enumerate(target.tolist()):
+            envelope[k] = follow(row, 0.0, fast, slow, falling=False)
+        return x * envelope
 
     return per_channel(v, run)
 

@@ -98,9 +98,9 @@ def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
 def gram(df: DataFrame, lane: Column, size: int) -> DataFrame:
     """X'X of an array column [rows, size] in one pass: each row's products are
     summed by place, so nothing but size * size sums is shuffled."""
-    x = df.select(lane.alias("x"))
-    places = F.array(*[F.struct(F.lit(i).alias("i0"), F.lit(j).alias("i1")) for i in range(size) for j in range(size)])
-    each = x.select("x", F.explode(places).alias("p")).select("p.i0", "p.i1", (F.get("x", F.col("p.i0")).cast("double") * F.get("x", F.col("p.i1"))).alias("v"))
+    x = df.select(F.slice(lane, 1, size).alias("x"))
+    left = x.select("x", F.posexplode("x").alias("i0", "a"))
+    each = left.select("i0", "a", F.posexplode("x").alias("i1", "b")).select("i0", "i1", (F.col("a").cast("double") * F.col("b")).alias("v"))
     return each.groupBy("i0", "i1").agg(F.sum("v").alias("v"))
 
 

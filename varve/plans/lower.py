@@ -7,7 +7,8 @@ Scalars and float tensors of fully known shape lower; anything else raises
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, fields, is_dataclass
 
 import numpy as np
 from pyspark.sql import Column
@@ -44,10 +45,28 @@ WIDEST = 256
 _AXIS = {"softmax", "log_softmax"}
 
 
+def _uses(node) -> Counter:
+    """How often each name is read in a program or a part of it."""
+    out = Counter()
+    if isinstance(node, Ref):
+        out[node.name] += 1
+    if isinstance(node, (tuple, list)):
+        for x in node:
+            out += _uses(x)
+    elif is_dataclass(node):
+        for f in fields(node):
+            out += _uses(getattr(node, f.name))
+    return out
+
+
 class Lowering:
-    def __init__(self, program: Program, inputs: dict[str, Lane]):
-        self.names, self.inputs = Names(program), inputs
-        self.flows = ordered(program, set(inputs))
+    def __init__(self, program: Program, inputs: dict[str, Lane], texts: dict[str, str] | None = None, taken: tuple[str, ...] = ()):
+        """texts: constants, as arguments have them. taken: names of columns."""
+        self.names, self.inputs, self.texts = Names(program), inputs, texts or {}
+        self.flows = ordered(program, set(inputs) | set(self.texts))
+        self.uses, self.taken = _uses(program), set(taken)
+        #: Columns to be added one after the other before the emits are selected.
+        self.stages: list[tuple[str, Column]] = []
 
     def emits(self) -> dict[str, Lane]:
         env, out = dict(self.inputs), {}
@@ -60,7 +79,7 @@ class Lowering:
             if isinstance(s, Ref):
                 current = self.ref(s, env)
             elif isinstance(s, Tap):
-                env[s.name] = current
+                env[s.name] = self.kept(s.name, current) if out is not None else current
             elif isinstance(s, Call) and s.name == "emit":
                 out[emit_name(s)] = current
             elif isinstance(s, Call):
@@ -73,6 +92,17 @@ class Lowering:
                 raise NotLowered(type(s).__name__)
         return current
 
+    def kept(self, name: str, v: Lane) -> Lane:
+        """A tap that several steps read becomes a column, made once a row."""
+        if self.uses[name] < 2:
+            return v
+        column = f"__tap_{name}"
+        while column in self.taken:
+            column += "_"
+        self.taken.add(column)
+        self.stages.append((column, v.expr))
+        return Lane(F.col(column), v.dtype, v.shape)
+
     def ref(self, r: Ref, env: dict) -> Lane:
         v = env.get(r.name)
         if v is None or r.field:
@@ -165,10 +195,15 @@ class Lowering:
             if not given or not isinstance(given[0], Ref):
                 raise NotLowered("no input")
             current = self.ref(given.pop(0), env)
-        if any(isinstance(v, Ref) for v in [*given, *(v for _, v in s.named)]):
-            raise NotLowered("an argument of the data")
+        def text(v) -> str:
+            if not isinstance(v, Ref):
+                return as_text(v)
+            if v.name not in self.texts or v.groups or v.field or env.get(v.name) is not self.inputs.get(v.name):
+                raise NotLowered("an argument of the data")
+            return self.texts[v.name]
+
         act = self.names(s.name)
-        args = Args([as_text(v) for v in given], {k: as_text(v) for k, v in s.named})
+        args = Args([text(v) for v in given], {k: text(v) for k, v in s.named})
         if not current.scalar and math.prod(current.shape) > WIDEST:
             raise NotLowered("a wide tensor")
         if act.name == "identity":

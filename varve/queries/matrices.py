@@ -34,50 +34,55 @@ SQL["linalg_trace"] = f"SELECT vec_id, round(CAST(sum(n) AS DOUBLE), 3) + 0 AS v
 QUERIES["linalg_diag"] = tensor_query('$x >> reshape("8,8") >> diag(1) >> emit', 3, whole=True)
 SQL["linalg_diag"] = f"SELECT vec_id, CAST(i // 8 AS INTEGER) AS i, CAST(n AS DOUBLE) + 0 AS v FROM {N} WHERE i % 8 = i // 8 + 1"
 
-# the leading 2 x 2 block [[a, b], [c, d]] of whole numbers
-_BLOCK = f"(SELECT vec_id, max(n) FILTER (i = 0) + 20 AS a, max(n) FILTER (i = 1) AS b, max(n) FILTER (i = 8) AS c, max(n) FILTER (i = 9) + 20 AS d FROM {N} GROUP BY vec_id) m"
+# [8, 8] matrices of all 64 components, 40 added on the diagonal; results are in single precision
+_CELLS = f"(SELECT vec_id, list(CAST(n + CASE WHEN i % 9 = 0 THEN 40 ELSE 0 END AS DOUBLE) ORDER BY i) AS m FROM {N} GROUP BY vec_id)"
 
 
-def _block(spark, sf_dir, action, pack, emit="emit"):
-    """[[a, b], [c, d]] with 20 added on the diagonal, then the action."""
-    plug = "plugin openblas/0.1.0\n" if pack == "linalg_blas" else ""
-    program = f"{plug}import {pack}/latest\nimport tensor_basics/latest\naccept Tensor[4] $x\n" + f'$x >> reshape("2,2") >> {action} >> {emit}\n'
-    pick = lambda k, more: F.get("x", F.lit(k)) + F.lit(float(more)).cast("float")
-    df = whole_lanes(spark, sf_dir).select("vec_id", F.array(pick(0, 20), pick(1, 0), pick(8, 0), pick(9, 20)).alias("x"))
-    return Pipeline(program).run(df, keep=["vec_id"])
+def _eliminated(cells: str, width: int, steps: int, below: bool) -> str:
+    """Elimination column by column on rows of ``width``, as nested selects."""
+    for k in range(steps):
+        rows = f"t // {width} > {k}" if below else f"t // {width} <> {k}"
+        cells = f"(SELECT vec_id, list_transform(range({8 * width}), lambda t: CASE WHEN {rows} THEN m[t + 1] - (m[(t // {width}) * {width} + {k + 1}] / m[{k * width + k + 1}]) * m[{k * width} + t % {width} + 1] ELSE m[t + 1] END) AS m FROM {cells})"
+    return cells
 
 
-for _prefix, _pack in (("linalg", "linalg_basics"), ("blas", "linalg_blas")):
-    QUERIES[f"{_prefix}_det"] = (lambda pack: lambda spark, sf_dir: _block(spark, sf_dir, "det", pack).select("vec_id", rounded(F.col("output"), 0).alias("v")))(_pack)
-    SQL[f"{_prefix}_det"] = f"SELECT vec_id, CAST(a * d - b * c AS DOUBLE) + 0 AS v FROM {_BLOCK}"
-    QUERIES[f"{_prefix}_inv"] = (lambda pack: lambda spark, sf_dir: _shifted(_block(spark, sf_dir, "inv", pack)))(_pack)
-    SQL[f"{_prefix}_inv"] = f"SELECT vec_id, CAST(unnest(range(4)) AS INTEGER) AS i, round(CAST(unnest([d, -b, -c, a]) AS DOUBLE) / (a * d - b * c) + 0.00013::DOUBLE, 3) + 0 AS v FROM {_BLOCK}"
-    # R'R = A'A whatever the columns' signs
-    QUERIES[f"{_prefix}_qr"] = (lambda pack: lambda spark, sf_dir: _gram(_block(spark, sf_dir, "qr", pack)))(_pack)
-    SQL[f"{_prefix}_qr"] = f"SELECT vec_id, CAST(unnest(range(4)) AS INTEGER) AS i, CAST(unnest([a * a + c * c, a * b + c * d, a * b + c * d, b * b + d * d]) AS DOUBLE) + 0 AS v FROM {_BLOCK}"
-    # LL' is the matrix of the lower triangle
-    QUERIES[f"{_prefix}_cholesky"] = (lambda pack: lambda spark, sf_dir: _product(_block(spark, sf_dir, "cholesky", pack)))(_pack)
-    SQL[f"{_prefix}_cholesky"] = f"SELECT vec_id, CAST(unnest(range(4)) AS INTEGER) AS i, CAST(unnest([a, c, c, d]) AS DOUBLE) + 0 AS v FROM {_BLOCK}"
+_SINGLE = f"(SELECT vec_id, CAST(m AS FLOAT[]) AS m FROM {_CELLS})"  # as the determinant's elimination works
+_BESIDE_UNIT = f"(SELECT vec_id, list_transform(range(128), lambda t: CASE WHEN t % 16 < 8 THEN m[(t // 16) * 8 + t % 16 + 1] WHEN t % 16 - 8 = t // 16 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS m FROM {_CELLS})"
+_ELEMENT = "SELECT vec_id, CAST(unnest(range(64)) AS INTEGER) AS i, round(CAST(unnest(list_transform(range(64), lambda t: {f})) AS DOUBLE), {n}) + 0 AS v FROM {t}"
 
 
-def _shifted(df):
-    """Elements moved off the exact halves that simple ratios round from."""
-    out = df.select("vec_id", F.posexplode(F.col("output")["data"]).alias("i", "e"))
-    return out.select("vec_id", "i", rounded(F.col("e").cast("double") + F.lit(0.00013), 3).alias("v"))
+def _matrix(spark, sf_dir, action, pack, reverse=True):
+    """The action over whole [8, 8] matrices. Reversed rows put small numbers on
+    the diagonal, so that a solver has to pivot."""
+    plug = "plugin openblas/0.1.0\n" if pack == "linalg_blas" else ""
+    program = f"{plug}import {pack}/latest\naccept Tensor[8,8] $x\n$x >> {action} >> emit\n"
+    at = lambda t: (7 - F.floor(t / 8)) * 8 + t % 8 if reverse else t
+    cell = lambda t: F.get("x", at(t).cast("int")) + F.when(at(t) % 9 == 0, 40.0).otherwise(0.0)
+    data = F.transform(F.sequence(F.lit(0), F.lit(63)), cell)
+    shape = F.array(F.lit(8).cast("long"), F.lit(8).cast("long"))
+    df = whole_lanes(spark, sf_dir, "double").select("vec_id", F.struct(shape.alias("shape"), data.alias("data")).alias("x"))
+    return Pipeline(program).run(df, keep=["vec_id"])
 
 
-def _gram(df):
-    r = F.col("output")["_1"]["data"]
-    e = lambda i, j: sum(F.get(r, F.lit(2 * k + i)).cast("double") * F.get(r, F.lit(2 * k + j)) for k in (0, 1))
-    out = df.select("vec_id", F.posexplode(F.array(e(0, 0), e(0, 1), e(1, 0), e(1, 1))).alias("i", "e"))
-    return out.select("vec_id", "i", rounded(F.col("e"), 0).alias("v"))
+def _products(df, data, left, right):
+    """Sums over k of data[left(i, j, k)] * data[right(i, j, k)] for all i and j."""
+    df = df.select("vec_id", data.alias("d"))
+    cell = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda s, k: s + F.get("d", left(F.floor(t / 8).cast("int"), t % 8, k)).cast("double") * F.get("d", right(F.floor(t / 8).cast("int"), t % 8, k)))
+    out = df.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), cell)).alias("i", "e"))
+    return out.select("vec_id", "i", rounded(F.col("e"), 2).alias("v"))
 
 
-def _product(df):
-    low = F.col("output")["data"]
-    e = lambda i, j: sum(F.get(low, F.lit(2 * i + k)).cast("double") * F.get(low, F.lit(2 * j + k)) for k in (0, 1))
-    out = df.select("vec_id", F.posexplode(F.array(e(0, 0), e(0, 1), e(1, 0), e(1, 1))).alias("i", "e"))
-    return out.select("vec_id", "i", rounded(F.col("e"), 0).alias("v"))
+for _prefix, _pack in (("linalg", "linalg_basics"), ("blas", "linalg_blas")):
+    QUERIES[f"{_prefix}_det"] = (lambda pack: lambda spark, sf_dir: _matrix(spark, sf_dir, "det", pack).select("vec_id", rounded(F.col("output") / F.lit(40.0**8), 6).alias("v")))(_pack)
+    SQL[f"{_prefix}_det"] = f"SELECT vec_id, round(CAST({' * '.join(f'm[{9 * t + 1}]' for t in range(8))} AS DOUBLE) / pow(40::DOUBLE, 8), 6) + 0 AS v FROM {_eliminated(_SINGLE, 8, 7, True)}"
+    QUERIES[f"{_prefix}_inv"] = (lambda pack: lambda spark, sf_dir: flat(_matrix(spark, sf_dir, "inv", pack), 8))(_pack)
+    SQL[f"{_prefix}_inv"] = _ELEMENT.format(f="CAST(m[(t // 8) * 16 + 8 + 7 - t % 8 + 1] / m[(t // 8) * 16 + t // 8 + 1] AS FLOAT)", n=8, t=_eliminated(_BESIDE_UNIT, 16, 8, False))
+    # R'R = A'A whatever the columns' signs
+    QUERIES[f"{_prefix}_qr"] = (lambda pack: lambda spark, sf_dir: _products(_matrix(spark, sf_dir, "qr", pack), F.col("output")["_1"]["data"], lambda i, j, k: k * 8 + i, lambda i, j, k: k * 8 + j))(_pack)
+    SQL[f"{_prefix}_qr"] = _ELEMENT.format(f="list_sum(list_transform(range(8), lambda k: m[k * 8 + t // 8 + 1] * m[k * 8 + t % 8 + 1]))", n=2, t=_CELLS)
+    # LL' is the matrix of the lower triangle
+    QUERIES[f"{_prefix}_cholesky"] = (lambda pack: lambda spark, sf_dir: _products(_matrix(spark, sf_dir, "cholesky", pack, False), F.col("output")["data"], lambda i, j, k: i * 8 + k, lambda i, j, k: j * 8 + k))(_pack)
+    SQL[f"{_prefix}_cholesky"] = _ELEMENT.format(f="m[greatest(t // 8, t % 8) * 8 + least(t // 8, t % 8) + 1]", n=2, t=_CELLS)
 
 
 def _pairs(spark, sf_dir):

@@ -57,9 +57,9 @@ QUERIES = {
     "whole_roll": lambda s, d: _out(L.rolled(_table(s, d), 5, 1, 64), 6),
     "whole_slice": lambda s, d: _out(L.sliced(_table(s, d), 1, 3, 40, 5), 6),
     "whole_matmul": _gram_of_centroids,
-    "whole_gram": lambda s, d: _out(L.gram(source(s, d, "embeddings"), F.slice("embedding", 1, 8), 8), 4),
+    "whole_gram": lambda s, d: _out(L.gram(source(s, d, "embeddings"), F.col("embedding"), 64), 4),
     "whole_outer": lambda s, d: _out(L.outer(L.reduced(_table(s, d), 1, "sum").select("i0", "v"), L.reduced(_table(s, d), 0, "mean")), 5),
-    "whole_trace": lambda s, d: _out(L.trace(L.gram(source(s, d, "embeddings"), F.slice("embedding", 1, 8), 8)), 4),
+    "whole_trace": lambda s, d: _out(L.trace(L.gram(source(s, d, "embeddings"), F.col("embedding"), 64)), 4),
     "whole_broadcast": _centered,
     "whole_relu": lambda s, d: _out(L.mapped(_table(s, d), lambda v: F.greatest(v, F.lit(0.0))), 6),
     "whole_histogram": lambda s, d: _out(L.histogram(_table(s, d), 32, -0.5, 0.5)),
@@ -79,9 +79,9 @@ SQL = {
     "whole_roll": f"SELECT vec_id AS i0, CAST((i + 5) % 64 AS BIGINT) AS i1, round(x, 6) + 0 AS v FROM {E}",
     "whole_slice": f"SELECT vec_id AS i0, CAST((i - 3) // 5 AS BIGINT) AS i1, round(x, 6) + 0 AS v FROM {E} WHERE i >= 3 AND i < 40 AND (i - 3) % 5 = 0",
     "whole_matmul": f"SELECT CAST(a.label AS BIGINT) AS i0, CAST(b.label AS BIGINT) AS i1, round(sum(a.x * b.x), 4) + 0 AS v FROM {_C} a JOIN {_C} b ON a.i = b.i GROUP BY a.label, b.label",
-    "whole_gram": f"SELECT CAST(a.i AS BIGINT) AS i0, CAST(b.i AS BIGINT) AS i1, round(sum(a.x * b.x), 4) + 0 AS v FROM {E[:-1]}a JOIN {E[:-1]}b ON a.vec_id = b.vec_id WHERE a.i < 8 AND b.i < 8 GROUP BY a.i, b.i",
+    "whole_gram": f"SELECT CAST(a.i AS BIGINT) AS i0, CAST(b.i AS BIGINT) AS i1, round(sum(a.x * b.x), 4) + 0 AS v FROM {E[:-1]}a JOIN {E[:-1]}b ON a.vec_id = b.vec_id GROUP BY a.i, b.i",
     "whole_outer": f"SELECT a.vec_id AS i0, CAST(b.i AS BIGINT) AS i1, round(a.x * b.x, 5) + 0 AS v FROM (SELECT vec_id, sum(x) AS x FROM {E} GROUP BY vec_id) a, (SELECT i, avg(x) AS x FROM {E} GROUP BY i) b",
-    "whole_trace": f"SELECT round(sum(x * x), 4) + 0 AS v FROM {E} WHERE i < 8",
+    "whole_trace": f"SELECT round(sum(x * x), 4) + 0 AS v FROM {E}",
     "whole_broadcast": f"SELECT vec_id AS i0, CAST(i AS BIGINT) AS i1, round(x - avg(x) OVER (PARTITION BY i), 6) + 0 AS v FROM {E}",
     "whole_relu": f"SELECT vec_id AS i0, CAST(i AS BIGINT) AS i1, round(greatest(x, 0::DOUBLE), 6) + 0 AS v FROM {E}",
     "whole_histogram": f"SELECT CAST(greatest(least(floor((x + 0.5::DOUBLE) / (0.5::DOUBLE + 0.5::DOUBLE) * 32), 31), 0) AS BIGINT) AS i0, CAST(count(*) AS DOUBLE) AS v FROM {E} GROUP BY 1",
