@@ -326,6 +326,8 @@ class Pipeline:
     def lowered(self, df: DataFrame, columns: dict[str, Column], constants: dict[str, Value]) -> tuple[list[tuple[str, Column]], list[Column]]:
         """Columns to add one after the other, and the emits, as expressions."""
         inputs, texts = {}, {}
+        if not self.params:
+            raise NotLowered("$input of unknown type")
         for p in self.params:
             if p.name not in columns:
                 v = constants.get(p.name) or self.interpreter.default(p)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import elements, language, lanes, matrices, media, whole
+from . import elements, fields, language, lanes, matrices, media, whole
 
-_ALL = (elements, lanes, matrices, media, language, whole)
+_ALL = (elements, lanes, matrices, media, language, fields, whole)
 
 
 def queries() -> dict:
