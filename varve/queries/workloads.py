@@ -1,25 +1,30 @@
-"""The four benchmark workloads, each over many payloads held in rows."""
+"""The four benchmark workloads at their published sizes, each over payloads held in rows."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..engine import Pipeline
 
+#: 1920 x 1080: the middle three quarters, mirrored, 512 x 512, to unit floats.
 IMAGE = """
 import base/latest
 import image_basics/latest
 accept Tensor[*,*,3] $picture
-$picture >> crop(60, 34, 360, 202) >> flip >> resize(128, 128, filter="nearest") >> to_tensor >> emit
+$picture >> crop(240, 135, 1440, 810) >> flip >> resize(512, 512, filter="nearest") >> to_tensor >> emit
 """
 
-SEQUENTIAL = "import linalg_basics/latest\nimport tensor_basics/latest\naccept Tensor[64,64] $m\n$m" + " >> inv >> transpose" * 12 + " >> cholesky >> emit\n"
+SEQUENTIAL = "import linalg_basics/latest\nimport tensor_basics/latest\naccept Tensor[256,256] $m\n$m" + " >> inv >> transpose" * 12 + " >> cholesky >> emit\n"
 
-BRANCHING = "import math_basics/latest\nimport nn_basics/latest\nimport tensor_stats/latest\naccept Tensor[64] $x\n$x >> mul(0.5) >> $shared\n" + "".join(
-    f'$shared >> mul({k + 1}) >> add(0.{k + 1}) >> tanh >> $m{k}\n$m{k} >> emit("matrix_{k}")\n$m{k} >> sum >> emit("rows_{k}")\n' for k in range(8))
+#: 16 branches from one shared step, two outputs each.
+BRANCHING = "import math_basics/latest\nimport nn_basics/latest\nimport tensor_stats/latest\naccept Tensor[512,512] $x\n$x >> mul(0.5) >> add(0.25) >> $shared\n" + "".join(
+    f'$shared >> mul({k + 1}) >> add(0.{k + 1}) >> relu >> clamp(0, 4) >> tanh >> $m{k}\n$m{k} >> emit("matrix_{k}")\n$m{k} >> abs >> sum(axis=1) >> emit("rows_{k}")\n' for k in range(16))
 
 AUDIO = """
 import audio_basics/latest
@@ -30,36 +35,61 @@ $clean >> to_wav >> emit("wav")
 """
 
 
-def image(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
-    """n pictures of 480 x 270: crop, flip, resize, to unit floats."""
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(480 * 270 * 3 - 1)), lambda k: ((k * 31 + F.col("id") * 17) % 256).cast("short"))
-    shape = F.array(*[F.lit(d).cast("long") for d in (270, 480, 3)])
-    df = spark.range(n).repartition(8).select("id", F.struct(shape.alias("shape"), pixels.alias("data")).alias("picture"))
-    df = df.withMetadata("picture", {"dtype": "u8"})
-    return Pipeline(IMAGE).run(df, keep=["id"])
+@dataclass(frozen=True)
+class Workload:
+    """A pipeline, its input rows (id and one payload) and how many there are."""
 
+    text: str
+    payloads: Any
+    column: str
+    count: int
 
-def sequential(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
-    """n positive definite 64 x 64 matrices: 12 inversions and transpositions, one factor."""
-    entry = lambda k: F.when(k % 65 == 0, F.lit(80.0)).otherwise(((((F.floor(k / 64) + 1) * (k % 64 + 1)) + F.col("id")) % 7) / F.lit(7.0)).cast("float")
-    data = F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda k: entry(F.greatest(F.floor(k / 64), k % 64) * 64 + F.least(F.floor(k / 64), k % 64)))
-    shape = F.array(F.lit(64).cast("long"), F.lit(64).cast("long"))
-    return Pipeline(SEQUENTIAL).run(spark.range(n).repartition(8).select("id", F.struct(shape.alias("shape"), data.alias("data")).alias("m")), keep=["id"])
+    def inputs(self, spark: SparkSession) -> DataFrame:
+        return self.payloads(spark.range(self.count).repartition(min(self.count, 8)))
 
+    def run(self, df: DataFrame) -> DataFrame:
+        return Pipeline(self.text).run(df, keep=["id"])
 
-def branching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All embeddings through a graph with 16 outputs."""
-    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<float>").alias("x"))
-    return Pipeline(BRANCHING).run(df, keep=["vec_id"])
 
+def _made(ids: DataFrame, name: str, element: str, make) -> DataFrame:
+    """A tensor cell for each id, by a numpy function of it."""
 
-def audio(spark: SparkSession, sf_dir: str, n: int = 32, seconds: int = 2) -> DataFrame:
-    """n stereo clips at 44.1 kHz: resample, high-pass, peak, spectrogram and wave."""
-    k = seconds * 44100
-    tone = lambda f: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.lit(0.5) * F.sin(i * (F.col("id") % 40 + f) * (2 * math.pi / 440))).cast("float"))
-    df = spark.range(n).repartition(8).select("id", F.struct(F.array(F.lit(2).cast("long"), F.lit(k).cast("long")).alias("shape"), F.concat(tone(3), tone(5)).alias("data")).alias("x"))
-    wav = Pipeline("import audio_basics/latest\naccept Tensor[2,*] $x\n$x >> to_audio(44100) >> to_wav >> emit(\"wav\")\n").run(df, keep=["id"])
-    return Pipeline(AUDIO).run(wav, keep=["id"])
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                x = make(i)
+                cell = pa.StructArray.from_arrays([pa.array([list(x.shape)], pa.list_(pa.int64())), pa.array([x.reshape(-1)])], names=["shape", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), cell], names=["id", name])
 
+    return ids.select("id").mapInArrow(run, f"id long, {name} struct<shape:array<bigint>,data:array<{element}>>")
 
-WORKLOADS = {"workload_image": image, "workload_sequential": sequential, "workload_branching": branching, "workload_audio": audio}
+
+def _pictures(ids: DataFrame) -> DataFrame:
+    make = lambda i: ((np.arange(1080 * 1920 * 3) * 31 + i * 17) % 256).astype("i2").reshape(1080, 1920, 3)
+    return _made(ids, "picture", "smallint", make).withMetadata("picture", {"dtype": "u8"})
+
+
+def _positive(i: int) -> np.ndarray:
+    """Positive definite: a heavy diagonal, symmetric elsewhere."""
+    k = np.arange(256)
+    low, high = np.minimum(k[:, None], k), np.maximum(k[:, None], k)
+    return np.where(low == high, 300.0, ((low * 13 + high * 7 + i) % 7) / 7).astype("f4")
+
+
+def _planes(ids: DataFrame) -> DataFrame:
+    return _made(ids, "x", "float", lambda i: (((np.arange(512 * 512) * 13 + i) % 1000) / 500 - 1).astype("f4").reshape(512, 512))
+
+
+def _clips(ids: DataFrame) -> DataFrame:
+    """10 s in stereo at 44.1 kHz, as wave files."""
+    step = np.arange(441_000) * (2 * math.pi / 440)
+    sound = _made(ids, "x", "float", lambda i: np.stack([0.5 * np.sin(step * (i % 40 + f)) for f in (3, 5)]).astype("f4"))
+    return Pipeline("import audio_basics/latest\naccept Tensor[2,*] $x\n$x >> to_audio(44100) >> to_wav >> emit(\"wav\")\n").run(sound, keep=["id"])
+
+
+WORKLOADS = {
+    "workload_image": Workload(IMAGE, _pictures, "picture", 16),
+    "workload_sequential": Workload(SEQUENTIAL, lambda ids: _made(ids, "m", "float", _positive), "m", 16),
+    "workload_branching": Workload(BRANCHING, _planes, "x", 8),
+    "workload_audio": Workload(AUDIO, _clips, "wav", 16),
+}
