@@ -344,6 +344,8 @@ def _scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     f1[:-1][x[order][:-1] == x[order][1:]] = 0  # equal logits stand together
     k = int(np.argmax(f1))
     cut = (x[order[k]] + x[order[min(k + 1, len(x) - 1)]]) / 2
+    # no more documents than the labels have toxic ones: few labels tell little of the rest
+    cut = max(cut, float(np.quantile(x, 1 - y.mean())))
     a = 1.5 / max(float(np.std(x[x > -30])) if (x > -30).any() else 1.0, 0.1)
     return a, float(np.log(0.7 / 0.3) - a * cut)
 
