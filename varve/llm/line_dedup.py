@@ -53,7 +53,7 @@ def edits_for(n: Column, bands: Bands) -> Column:
     return out
 
 
-def keys(bands: Bands) -> Column:
+def keys(bands: Bands, bare: bool = False) -> Column:
     """The segment index entries of the column ``line`` of ``n`` code points.
 
     Table keys (lowest bit 0): each of the k + 1 segments with the line's
@@ -62,12 +62,13 @@ def keys(bands: Bands) -> Column:
     both bounds on the shift; those equal to a table key are left out. Where one
     edit is allowed, lo and hi bound the part that the key leaves open; a code
     point too many that could as well be deleted elsewhere counts where it comes
-    first, and such places belong to the key from ``own`` on.
+    first, and such places belong to the key from ``own`` on. ``bare``: the
+    keys alone.
     """
-    lists = []
+    kind, lists = "array<bigint>" if bare else _KEYS, []
     for delta in range(max(k for _, k in bands) + 1):
         n = F.col("n") - delta
-        choice = F.array().cast(_KEYS)
+        choice = F.array().cast(kind)
         for least, k in bands:
             out = []
             for i in range(k + 1) if delta <= k else ():
@@ -78,10 +79,13 @@ def keys(bands: Bands) -> Column:
                     piece = F.substring(F.col("line"), (a + shift + 1).cast("int"), size.cast("int"))
                     probe = 0 if shift == delta == 0 else 1
                     key = F.xxhash64(piece, n.cast("int"), F.lit(i)).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(probe).cast("long"))
+                    if bare:
+                        out.append(key)
+                        continue
                     spots = (size, F.col("n"), size + 1) if i == 0 else (F.lit(0), a + shift, F.lit(0))
                     lo, hi, own = (x.cast("int") if k == 1 else F.lit(None).cast("int") for x in spots)
                     out.append(F.struct(key.alias("key"), lo.alias("lo"), hi.alias("hi"), own.alias("own")))
-            choice = F.when(n >= least, F.array(*out).cast(_KEYS) if out else F.array().cast(_KEYS)).otherwise(choice)
+            choice = F.when(n >= least, F.array(*out).cast(kind)).otherwise(choice)
         lists.append(choice)
     return F.concat(*lists)
 
@@ -97,24 +101,27 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, bands: Bands) -> DataFrame:
     """Written: doc_id, text_hash, line_no, h1, h2 and the index keys of every
-    line. All that follows reads this narrow table in place of the texts."""
-    found = F.when(F.col("n") >= bands[0][0], F.transform(keys(bands), lambda x: x["key"]))
+    line. All that follows reads this narrow table in place of the texts. Keys
+    keep 48 bits, which take less disk; two that agree there only add candidates."""
+    found = F.when(F.col("n") >= bands[0][0], F.transform(keys(bands, bare=True), lambda x: x.bitwiseAND(F.lit((1 << 48) - 1))))
     return written(lines(docs).select("doc_id", "text_hash", "line_no", "h1", "h2", found.alias("keys")), "lines")
 
 
-def maybe_among(rows: DataFrame, column: str, values: DataFrame, bits: int = 26) -> DataFrame:
+def maybe_among(rows: DataFrame, column: str, values: DataFrame, bits: int = 26, others: bool = False) -> DataFrame:
     """The rows whose long ``column`` is among ``values`` (its only column), and
     few others: a bitmap of 2**bits places, at most 8 MB for any number of
-    values, goes to every task, so that the other rows aren't shuffled."""
+    values, goes to every task, so that the other rows aren't shuffled.
+    ``others``: exactly the rows that the same call without it leaves out."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     place = spot(values.columns[0])
     spots = values.select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(F.lit(32767)).alias("bit"))
     bitmap = spots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     marked = rows.withColumn("place", spot(column))
     place = F.col("place")
-    joined = marked.join(F.broadcast(bitmap), F.shiftright(place, 15) == F.col("bucket"))
+    joined = marked.join(F.broadcast(bitmap), F.shiftright(place, 15) == F.col("bucket"), "left" if others else "inner")
     byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(place.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return joined.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+    there = F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return joined.where(~F.coalesce(there, F.lit(False)) if others else there).select(*rows.columns)
 
 
 def _shared(rows: DataFrame, of: str) -> DataFrame:
@@ -125,10 +132,22 @@ def _shared(rows: DataFrame, of: str) -> DataFrame:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """h1 of the lines that share a key with another line, by ``occurrences``."""
-    entries = found.where("keys is not null").select("h1", F.explode("keys").alias("x"))
-    shared = written(_shared(entries, "h1").select("key63"), "line-keys")
-    near = maybe_among(entries.withColumn("key63", F.shiftright("x", 1)), "key63", shared).select("key63", "h1").distinct()
+    """h1 of the lines that share a key with another line, by ``occurrences``.
+
+    Each different line counts its keys once, so that the largest shuffle holds
+    keys and counts but no lines: lines that repeat combine before, the others
+    stay where they are.
+    """
+    rows = found.where("keys is not null").select("h1", "keys")
+    again = written(rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("again")), "line-copies")
+    once = maybe_among(rows, "h1", again, others=True)
+    some = maybe_among(rows, "h1", again).groupBy("h1").agg(F.first("keys").alias("keys"))
+    entries = once.unionByName(some).select(F.explode("keys").alias("x"))
+    # the sum: table entries by 2**32, all entries by one
+    worth = F.when(F.col("x").bitwiseAND(F.lit(1)) == 0, F.lit((1 << 32) + 1)).otherwise(F.lit(1).cast("long"))
+    counts = entries.select(F.shiftright("x", 1).alias("key63"), worth.alias("w")).groupBy("key63").agg(F.sum("w").alias("w"))
+    shared = written(counts.where((F.col("w") >= 1 << 32) & (F.col("w").bitwiseAND(F.lit((1 << 32) - 1)) > 1)).select("key63"), "line-keys")
+    near = maybe_among(rows.select("h1", F.explode("keys").alias("x")).select("h1", F.shiftright("x", 1).alias("key63")), "key63", shared).distinct()
     return near.join(shared, "key63").select("h1").distinct()
 
 
