@@ -17,17 +17,18 @@ ONE_EDIT = ((20, 1),)
 BY_LENGTH = ((20, 1), (40, 2), (60, 3))
 Bands = tuple[tuple[int, int], ...]
 #: Buckets of more rows than the first are narrowed further where one edit is
-#: allowed; where more are, those above the second meet chunk by chunk.
-SMALL, CHUNK = 512, 512
+#: allowed; where more are, those above the second run along pivots, at most so
+#: many levels.
+SMALL, CHUNK, LEVELS = 512, 64, 4
 _KEYS = "array<struct<key:bigint,lo:int,hi:int,own:int>>"
 
 
-def letter_counts() -> Column:
+def letter_counts(line: str = "line") -> Column:
     """The counts of LETTERS modulo 4 as Gray codes: one edit changes at most two
     counts by one, and so at most two bits."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        count = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))).bitwiseAND(F.lit(3))
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(3))
         gray = count.bitwiseXOR(F.shiftright(count, 1)).cast("long")
         out = out.bitwiseOR(F.shiftleft(gray, 2 * k))
     return out
@@ -180,24 +181,104 @@ def _narrowed(rows: DataFrame) -> DataFrame:
     return rows.select("id", "sketch", F.explode(F.array(left, right)).alias("y")).select("y.x", "id", "y.lo", "y.hi", "y.own", "y.rest", "sketch")
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """Deals the rows of buckets of over CHUNK rows to pairs of chunks: table
-    entries of two chunks meet under one new key, as do those of one chunk and
-    the probes of another. Keys are hashes; a collision only adds pairs, which
-    are verified."""
-    probe = F.col("x").bitwiseAND(F.lit(1))
+def _grouped(rows: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
+    """The lines of large buckets of several edits, dealt to hubs: key, id, u
+    (edits spent), k (edits that the line allows), rest.
+
+    Each bucket goes to the one of its lines that is in the most and largest of
+    them, so that the buckets of one group of near copies mostly share a hub and
+    a line is there once in place of once a key. Lines that share a bucket meet.
+    """
+    rows = rows.select("key63", "id", "size")
+    score = rows.groupBy("id").agg(F.sum("size").alias("score"))
+    hubs = rows.join(score, "id").groupBy("key63").agg(F.max(F.struct("score", "id")).alias("hub")).select("key63", "hub.id")
+    members = rows.select("key63", "id").join(hubs.withColumnRenamed("id", "hub"), "key63").select("hub", "id").distinct()
+    own = texts.select("id", edits_for(F.char_length("line"), bands).alias("k"), F.col("line").alias("rest"))
+    return members.join(own, "id").select(F.xxhash64("hub").alias("key"), "id", F.lit(0).alias("u"), "k", "rest")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """The entries with their key's pivot: a rest that begins as most of them do,
+    up to half the length of the shortest."""
+    half = rows.groupBy("key").agg(F.floor(F.min(F.char_length("rest")) / 2).cast("int").alias("half"))
+    begun = rows.join(half, "key").groupBy("key", F.xxhash64(F.substring(F.col("rest"), F.lit(1), F.col("half"))).alias("begin"))
+    begun = begun.agg(F.count("*").alias("n"), F.min(F.struct("u", F.xxhash64("id", "rest").alias("any"), "rest")).alias("best"))
+    pivots = begun.groupBy("key").agg(F.max(F.struct("n", "begin", "best")).alias("most"))
+    return rows.join(pivots.select("key", F.col("most.best.rest").alias("pivot")), "key")
+
+
+def _diverged(rows: DataFrame, most: int) -> DataFrame:
+    """The entries of ``_grouped`` one level down, for buckets of different lines.
+
+    An entry runs along its pivot to the place a where they differ. Of two, the
+    one that leaves the pivot earlier also differs from the other there, so it
+    has to spend one edit: to take the pivot's code point for its own, to drop
+    its own or to insert the pivot's. All three ways are followed while edits
+    are left. So lines within their edits meet under one place, where the edits
+    spent and those between the rests make up no more. At the ``end`` both have
+    run through the pivot, and the edits spent alone bound their distance.
+    """
+    slid = lambda i, a: f"aggregate(steps, 0, (c, w) -> if({i} + c + w <= n and {a} + c + w <= m and substring(rest, {i} + c + 1, w) = substring(pivot, {a} + c + 1, w), c + w, c))"
+    spot = lambda i, a: f"get(transform(array({slid(i, a)}), c -> named_struct('i', {i} + c, 'a', {a} + c)), 0)"
+    rows = rows.withColumns({"n": F.char_length("rest"), "m": F.char_length("pivot")})
+    rows = rows.withColumn("steps", F.expr("transform(sequence(cast(log2(greatest(n, 1)) as int) + 1, 0, -1), x -> shiftleft(1, x))"))
+    rows = rows.withColumn("s0", F.expr(f"array({spot('0', '0')})"))
+    for j in range(1, most + 1):
+        ways = "array(named_struct('i', s.i + 1, 'a', s.a + 1), named_struct('i', s.i + 1, 'a', s.a), named_struct('i', s.i, 'a', s.a + 1))"
+        there = f"flatten(transform(s{j - 1}, s -> filter({ways}, t -> t.i <= n and t.a <= m)))"
+        before = ", ".join(f"s{x}" for x in range(j))
+        rows = rows.withColumn(f"s{j}", F.expr(f"if(u + {j} > k, slice(s0, 1, 0), array_except(transform({there}, t -> {spot('t.i', 't.a')}), concat({before})))"))
+    spots = ", ".join(f"transform(s{j}, s -> named_struct('u', u + {j}, 'i', s.i, 'a', s.a))" for j in range(most + 1))
+    rows = rows.select("key", "id", "k", "rest", "n", "m", F.expr(f"explode(concat({spots}))").alias("t"))
+    end = (F.col("t.i") == F.col("n")) & (F.col("t.a") == F.col("m"))
+    rows = rows.select(F.xxhash64("key", "t.a", end).alias("key"), "id", "t.u", "k", end.alias("end"), F.expr("substring(rest, t.i + 1)").alias("rest"))
+    rows = written(rows, "line-spots")
+    sizes = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("u").alias("least"), F.count("*").alias("size"))
+    sizes = sizes.where("low <> high").select("key", "least", "size")
+    return written(rows.join(sizes, "key").where("u + least <= k").drop("least"), "line-places")
+
+
+def _met(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs of the entries of one key whose edits suffice; more than CHUNK
+    entries meet by pairs of chunks."""
     k = F.ceil(F.col("size") / CHUNK).cast("long")
-    slot = F.pmod(F.xxhash64("id"), k)
-    each = F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
-    rows = rows.select("x", "key63", "id", "own", "sketch", slot.alias("slot"), each.alias("d"))
-    both = F.xxhash64(F.col("key63"), F.lit(0), F.least("slot", "d"), F.greatest("slot", "d"))
-    as_table, as_probe = F.xxhash64(F.col("key63"), F.lit(1), F.col("slot"), F.col("d")), F.xxhash64(F.col("key63"), F.lit(1), F.col("d"), F.col("slot"))
-    mark = lambda key, bit: key.bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit).cast("long"))
-    # table entries meet table entries under even, probes under odd side numbers
-    tables = rows.where(probe == 0)
-    met = [tables.withColumn("x", mark(both, 0)), tables.withColumn("x", mark(as_table, 0)).withColumn("own", F.lit(-1)), rows.where(probe == 1).withColumn("x", mark(as_probe, 1))]
-    out = met[0].unionByName(met[1]).unionByName(met[2])
-    return out.select("x", F.shiftright("x", 1).alias("key63"), "id", "own", "sketch", F.lit(None).cast("string").alias("rest"))
+    rows = rows.withColumn("sketch", letter_counts("rest")).withColumn("slot", F.pmod(F.xxhash64("id", "rest"), k)).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), k - 1)))
+    side = lambda x, p, q: rows.select(F.xxhash64("key", p, q).alias("met"), F.col("id").alias(x), F.col("u").alias(f"u{x}"), F.col("k").alias(f"k{x}"), F.col("rest").alias(f"r{x}"), F.char_length("rest").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    left = F.least("ka", "kb") - F.col("ua") - F.col("ub")
+    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * left - F.abs(F.col("na") - F.col("nb"))
+    # equal ends don't count, and Spark's distance takes the square of the length
+    tail, allowed = "greatest(least(na, nb) - 32, 0)", "least(ka, kb) - ua - ub"
+    apart = F.expr(f"if(right(ra, {tail}) = right(rb, {tail}), levenshtein(substring(ra, 1, na - {tail}), substring(rb, 1, nb - {tail}), {allowed}), levenshtein(ra, rb, {allowed}))")
+    near = (F.col("a") < F.col("b")) & (left >= 0) & alike & F.when(left == 0, F.col("ra") == F.col("rb")).otherwise(apart >= 0)
+    return side("a", "slot", "d").join(side("b", "d", "slot"), "met").where(near).select("a", "b")
+
+
+def _spanned(ends: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs that connect the entries at the end as all their links would: of
+    those that allow at least j edits, for each j, the one with the fewest spent
+    is within j of any that is within j of another."""
+    levels = F.array(*(F.lit(k) for k in sorted({k for _, k in bands})))
+    rows = ends.select("key", "id", "u", F.explode(F.filter(levels, lambda x: x <= F.col("k"))).alias("j"))
+    hubs = rows.groupBy("key", "j").agg(F.min(F.struct("u", "id")).alias("hub"))
+    return rows.join(hubs, ["key", "j"]).where("id <> hub.id and u + hub.u <= j").select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+
+
+def _by_pivots(rows: DataFrame, texts: DataFrame, bands: Bands, counts: bool) -> list[DataFrame]:
+    """Pairs of the large buckets of several edits (written): groups run along a
+    pivot, level by level, until few entries are at one place. What is still
+    large after LEVELS meets chunk by chunk. Without ``counts`` a star stands for
+    the links at a pivot's end."""
+    most, out = max(k for _, k in bands), []
+    rows = written(_grouped(rows, texts, bands), "line-groups")
+    for _ in range(LEVELS):
+        rows = _diverged(_with_pivots(rows.select("key", "id", "u", "k", "rest")), most)
+        ends, large = rows.where("end"), ~F.col("end") & (F.col("size") > SMALL)
+        out.append(_met(ends, most) if counts else _spanned(ends, bands))
+        out.append(_met(rows.where(~F.col("end") & ~large), most))
+        rows = rows.where(large)
+        if not rows.limit(1).count():
+            return out
+    return [*out, _met(rows, most)]
 
 
 def _pairs(rows: DataFrame, most: int) -> DataFrame:
@@ -249,29 +330,29 @@ def verified(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
     return pairs.where(sound)
 
 
-def line_links(texts: DataFrame, bands: Bands) -> DataFrame:
+def line_links(texts: DataFrame, bands: Bands, counts: bool = True) -> DataFrame:
     """a, b, wa, wb: verified links that connect all near lines, with the number
-    of links that each gives to its ends.
+    of links that each gives to its ends; without ``counts``, fewer links that
+    connect the same lines.
 
     texts: id (h1, h2) and line, for candidates; each line once. Buckets of few
     rows yield their pairs. Larger ones of one edit are narrowed until they are
     small, or until their open part is one code point: those lines are all
     linked, and a star with counts stands for their pairs. Larger buckets of
-    more edits meet chunk by chunk.
+    more edits run along pivots.
     """
     most = max(k for _, k in bands)
     rows = texts.withColumns({"n": F.char_length("line"), "sketch": letter_counts()})
     rows = rows.select("id", "sketch", "line", F.explode(keys(bands)).alias("y"))
     rest = F.when(F.col("y.lo").isNotNull(), F.substring(F.col("line"), F.col("y.lo") + 1, F.col("y.hi") - F.col("y.lo")))
     rows = rows.select(F.col("y.key").alias("x"), "id", "y.lo", "y.hi", "y.own", rest.alias("rest"), "sketch")
-    pairs, stars = [], []
+    pairs, stars, several = [], [], F.col("lo").isNull()
     while True:
         rows = written(_bucketed(rows), "line-buckets")
-        several = F.col("lo").isNull()
-        pairs.append(_pairs(rows.where((F.col("size") <= SMALL) | several & (F.col("size") <= CHUNK)), most))
-        if most > 1:
-            large = _pairs(_chunked(rows.where(several & (F.col("size") > CHUNK))), most)
-            pairs.append(large.withColumn("own", F.lit(None).cast("int")))
+        pairs.append(_pairs(rows.where(F.col("size") <= F.when(several, CHUNK).otherwise(SMALL)), most))
+        large = rows.where(several & (F.col("size") > CHUNK))
+        if most > 1 and len(pairs) == 1 and large.limit(1).count():
+            pairs += [p.withColumn("own", F.lit(None).cast("int")) for p in _by_pivots(large, texts, bands, counts)]
         rows = rows.where((F.col("size") > SMALL) & ~several)
         if not rows.limit(1).count():
             break
@@ -295,15 +376,15 @@ def line_links(texts: DataFrame, bands: Bands) -> DataFrame:
     return verified(found, texts, bands).select("a", "b", "wa", "wb")
 
 
-def classes(docs: DataFrame, found: DataFrame, bands: Bands) -> DataFrame:
+def classes(docs: DataFrame, found: DataFrame, bands: Bands, counts: bool = True) -> DataFrame:
     """h1, h2, class (doc_id, line_no, text_hash of the first line), links: a row
     for each different line that repeats or has near lines. found: the
-    ``occurrences`` of docs."""
+    ``occurrences`` of docs. Without ``counts``, links may be fewer."""
     ids = written(candidates(found), "line-candidates")
     # copies combine before anything is joined
     texts = maybe_among(lines(docs).select("h1", "h2", "line"), "h1", ids).groupBy("h1", "h2").agg(F.min("line").alias("line"))
     texts = written(texts.join(ids, "h1").select(F.struct("h1", "h2").alias("id"), "line"), "line-texts")
-    links = written(line_links(texts, bands), "line-links")
+    links = written(line_links(texts, bands, counts), "line-links")
     ends = links.select(F.col("a").alias("id"), F.col("wa").alias("w")).unionByName(links.select(F.col("b").alias("id"), F.col("wb").alias("w")))
     degree = ends.groupBy("id").agg(F.sum("w").alias("links"))
     roots = written(components(links).select(F.col("node").alias("id"), "root").join(degree, "id"), "line-roots")
@@ -346,7 +427,7 @@ def without_duplicate_lines(docs: DataFrame, max_edits: int | Bands = ONE_EDIT)
     Documents stay even where no line is left; null texts without lines stay null."""
     bands = bands_of(max_edits)
     rows = occurrences(docs, bands)
-    found = classes(docs, rows, bands)
+    found = classes(docs, rows, bands, counts=False)
     own = F.struct("doc_id", "line_no", "text_hash")
     gone = rows.select("doc_id", "line_no", "text_hash", "h1", "h2").join(found, ["h1", "h2"]).where(~F.col("class").eqNullSafe(own))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
